@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op7_benchmark_decontamination
+from .language_id import op8_language_id
+from .matroska import op5_media_columns
 from .mixing import OP9_SQL, op9_mix_sources
 from .secret_scan import op10_secret_scan
+from .simhash import op3_simhash_near_dedup
+from .token_counts import op6_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op5_media_columns": op5_media_columns,
+    "op6_token_counts": op6_token_counts,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_language_id": op8_language_id,
     "op9_mix_sources": op9_mix_sources,
     "op10_secret_scan": op10_secret_scan,
 }
