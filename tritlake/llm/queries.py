@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op7_benchmark_decontamination
+from .html_extract import op4_html_extraction
 from .language_id import op8_language_id
 from .matroska import op5_media_columns
 from .mixing import OP9_SQL, op9_mix_sources
@@ -16,6 +17,7 @@ from .token_counts import op6_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_html_extraction": op4_html_extraction,
     "op5_media_columns": op5_media_columns,
     "op6_token_counts": op6_token_counts,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
