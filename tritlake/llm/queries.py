@@ -13,9 +13,13 @@ from .matroska import op5_media_columns
 from .mixing import OP9_SQL, op9_mix_sources
 from .secret_scan import op10_secret_scan
 from .simhash import op3_simhash_near_dedup
+from .substring_dedup import op1_substring_dedup
+from .suffix_dedup import op2_suffix_array_dedup
 from .token_counts import op6_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_html_extraction": op4_html_extraction,
     "op5_media_columns": op5_media_columns,
