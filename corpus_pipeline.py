@@ -39,7 +39,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, target (their source's words), taken (words) and epochs (taken / size).
+    """The documents that the mix takes, with size, target (their source's words), taken (words) and epochs (taken / size; a part of
+    the last one where the budget ends within the document).
 
     Rows that repeat id, source and size are taken alike. Documents without words are not taken.
     """
@@ -47,7 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     p = plan.select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__n"), "target", "taken")
     d = docs.withColumn("size", word_count(F.col("text")))
     out = d.join(p, d["doc_id"].eqNullSafe(p["__i"]) & d["source"].eqNullSafe(p["__s"]) & (d["size"] == p["__n"]))
-    return out.select(*docs.columns, "size", "target", "taken", (F.col("taken") / F.col("size")).cast("int").alias("epochs"))
+    return out.select(*docs.columns, "size", "target", "taken", (F.col("taken") / F.col("size")).alias("epochs"))
 
 
 #: In this order: operators 8, 3, 7, 10 and 9.

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 A document's key is -ln(u) / quality, with u from a digest of its id, so reruns agree. Each source first gets its complete
-epochs; the rest of its word budget goes to the smallest keys, taken whole in key order up to the budget. The order within
+epochs; the rest of its word budget goes to the smallest keys, in key order up to the budget. The order within
 a source is cut into fixed slices of the key, so that no task holds a whole source: slices are pre-summed, the slices'
 sums are prefix-summed per source, and documents are ranked only within their slice.
 """
@@ -47,8 +47,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     run = W.orderBy((F.col("__cap") / F.col("__w")).asc(), "__k").rowsBetween(W.unboundedPreceding, -1)
     d = d.withColumns({"__full": F.coalesce(F.sum("__cap").over(run), F.lit(0.0)), "__used": F.coalesce(F.sum("__w").over(run), F.lit(0.0)), "__all_w": F.sum("__w").over(every), "__total": F.sum("source_size").over(every) * F.lit(float(share))})
     d = d.withColumn("__level", (F.col("__total") - F.col("__full")) / (F.col("__all_w") - F.col("__used")))
-    # The level is right at the first source that it leaves below its cap; if there is none, all are at their cap.
-    d = d.withColumn("__at", F.min(F.when(F.col("__level") * F.col("__w") < F.col("__cap"), F.col("__level") )).over(every))
+    # The level is right at the first source, in this order, that it leaves below its cap; if there is none, all are capped.
+    fits = F.when(F.col("__level") * F.col("__w") < F.col("__cap"), F.struct((F.col("__cap") / F.col("__w")).alias("r"), F.col("__k").alias("k"), F.col("__level").alias("level")))
+    d = d.withColumn("__at", F.min(fits).over(every)["level"])
     return d.select("source", "source_size", F.when(F.col("__at").isNull(), F.col("__cap")).otherwise(F.least(F.col("__at") * F.col("__w"), F.col("__cap"))).alias("target"))
 
 
@@ -56,8 +57,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row: id, size (words), source, source_size, target, taken (words the mix takes, repeats counted).
 
     Null and empty texts have size 0 and are taken as 0; a null source is a source of its own, last in order. Equal keys
-    (repeated ids) are ordered by size; rows equal in both are interchangeable. `taken` is a whole multiple of `size`,
-    and a source's sum differs from its target by at most half of the document at the budget's edge.
+    (repeated ids) are ordered by size; rows equal in both are interchangeable. Documents are taken whole, but for the one at
+    the edge of a source's budget, of which the words up to the budget are taken: a source's sum is its rounded target.
     """
     d = id_and_text(docs, id_col, text_col, source_col)
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("__id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
@@ -77,9 +78,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = d.withColumn("__in", F.coalesce(F.sum("size").over(within), F.lit(0)))
     d = d.join(plan, (d["__s"] == plan["__s"]) & (d["__sn"] == plan["__sn"]) & (d["__slice"] == plan["__b"]))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    rest = F.col("target") - epochs * F.col("source_size")
-    more = F.when(F.col("__before") + F.col("__in") + F.col("size") / 2.0 <= rest, 1).otherwise(0)
-    return d.select(F.col("__id").alias(id_col), "size", "source", "source_size", "target", ((epochs + more) * F.col("size")).cast("long").alias("taken"))
+    rest = F.floor(F.col("target") + 0.5) - epochs * F.col("source_size")
+    more = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("__before") - F.col("__in")))
+    return d.select(F.col("__id").alias(id_col), "size", "source", "source_size", "target", (epochs * F.col("size") + more).cast("long").alias("taken"))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +107,7 @@ WITH d AS (
 ), l AS (SELECT *, (total - full_) / (all_w - used) AS level FROM r),
 t AS (
   SELECT source, source_size, CASE WHEN at_ IS NULL THEN cap ELSE least(at_ * w, cap) END AS target
-  FROM (SELECT *, min(CASE WHEN level * w < cap THEN level END) OVER () AS at_ FROM l)
+  FROM (SELECT l.*, (SELECT level FROM l WHERE level * w < cap ORDER BY cap / w, k LIMIT 1) AS at_ FROM l)
 ), x AS (
   SELECT k.doc_id, k.size, t.source_size, t.target,
          coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
@@ -114,6 +115,6 @@ t AS (
   FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
-       CAST((epochs + CASE WHEN before + size / 2.0 <= target - epochs * source_size THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+       CAST(epochs * size + greatest(0, least(size, floor(target + 0.5) - epochs * source_size - before)) AS BIGINT) AS taken
 FROM x
 """
