@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, id_and_text, table
 from .suffix_induction import induce, on_disk
 
-WIDTH, GRAM = 200, 32
+WIDTH, GRAM = 200, 64
 #: Bytes of a text that are looked at together; a separator that no UTF-8 text holds.
 BLOCK, SEPARATOR = 1 << 20, 0xFF
+#: Bytes after which a shard ends at the next anchor. One anchor is never split, so its shard may be larger.
+SHARD = 1 << 22
 
 
 def anchors(data: bytes, width: int = WIDTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -98,8 +100,8 @@ def remove_spans(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list
     return b"".join([*parts, data[at:]]), [(s, e) for s, e in runs]
 
 
-def repeated_spans(base: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(i, h, text) -> (i, h, s, e): byte spans that repeated strings cover; i and h name a document."""
+def repeated_spans(base: DataFrame, width: int = WIDTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
+    """(__id, i, h, text) -> (i, h, s, e): byte spans that repeated strings cover; i and h name a document."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,7 +127,7 @@ def repeated_spans(base: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     found = base.select("i", "h", "text").mapInArrow(gathered, "i long, h long, a long, c long, s long, n int")
     again = found.groupBy("a").agg(F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("k > 1").select(F.col("a").alias("a1"), (F.col("lo") != F.col("hi")).alias("mixed"))
     kept = cut_lineage(found.join(again, F.col("a") == F.col("a1")).drop("a1"))
-    stretches = cut_lineage(kept.filter("mixed").groupBy("a", "c").agg(F.count("*").alias("k"), F.min(F.struct("i", "h", "s", "n")).alias("r")))
+    stretches = kept.filter("mixed").groupBy("a", "c").agg(F.count("*").alias("k"), F.min(F.struct("i", "h", "s", "n")).alias("r"))
     twice = stretches.filter("k > 1").select(F.col("a").alias("a1"), F.col("c").alias("c1"))
     covered = kept.filter("not mixed").select("i", "h", "s", "n").union(kept.filter("mixed").join(twice, (F.col("a") == F.col("a1")) & (F.col("c") == F.col("c1"))).select("i", "h", "s", "n"))
     covered = covered.select("i", "h", F.col("s"), (F.col("s") + F.col("n") + (width - 1)).alias("e"))
@@ -136,33 +138,41 @@ def repeated_spans(base: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, h, text, want in zip(*(b.column(j).to_pylist() for j in range(4)), strict=True):
+            for i, h, text, want in zip(*(b.column(j).to_pylist() for j in range(1, 5)), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 rows += [(i, h, x["a"], x["k"] > 1, x["s"], x["n"], data[x["s"] : x["s"] + x["n"] + width - 1]) for x in want]
             cols = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.bool_(), pa.int64(), pa.int32(), pa.binary()], strict=True)], names=["i", "h", "a", "done", "s", "n", "t"])
 
-    # Rows that repeat a document's id and text hold the same stretch; one of them is asked.
-    texts = base.select("i", "h", "text").join(wanted, (F.col("i") == F.col("i1")) & (F.col("h") == F.col("h1"))).select("i", "h", "text", "want")
+    # The same columns of the texts are dealt here and at the end, so that one shuffle of them serves both.
+    texts = base.join(wanted, (F.col("i") == F.col("i1")) & (F.col("h") == F.col("h1"))).select("__id", "i", "h", "text", "want")
     fetched = texts.mapInArrow(fetch, "i long, h long, a long, done boolean, s long, n int, t binary")
-    shards = fetched.repartition("a")
+    shards = fetched.repartition("a").sortWithinPartitions("a")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[tuple, tuple] = {}
+        def judged(own: list[tuple]) -> pa.RecordBatch:
+            # Rows that repeat a document's id and text bring the same stretch again; it counts once.
+            own = list({(r[0], r[1], r[4]): r for r in own}.values())
+            marks = repeated_starts([r[6] for r in own], [r[5] for r in own], width)
+            out = []
+            for (i, h, _, done, s, _, _), flags in zip(own, marks, strict=True):
+                if not done:
+                    for lo, hi in zip(*_runs(flags), strict=True):
+                        out.append((i, h, s + int(lo), s + int(hi) + width - 1))
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["i", "h", "s", "e"])
+
+        own: list[tuple] = []
+        size = 0
         for b in batches:
-            for i, h, a, done, s, n, t in zip(*(b.column(j).to_pylist() for j in range(7)), strict=True):
-                rows[(i, h, s)] = (i, h, done, s, n, t)
-        own = list(rows.values())
-        if not own:
-            return
-        marks = repeated_starts([r[5] for r in own], [r[4] for r in own], width)
-        out = []
-        for (i, h, done, s, _, _), flags in zip(own, marks, strict=True):
-            if not done:
-                for lo, hi in zip(*_runs(flags), strict=True):
-                    out.append((i, h, s + int(lo), s + int(hi) + width - 1))
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["i", "h", "s", "e"])
+            for row in zip(*(b.column(j).to_pylist() for j in range(7)), strict=True):
+                if size >= shard and own[-1][2] != row[2]:
+                    yield judged(own)
+                    own, size = [], 0
+                own.append(row)
+                size += len(row[6])
+        if own:
+            yield judged(own)
 
     return covered.union(shards.mapInArrow(sort, "i long, h long, s long, e long"))
 
@@ -175,14 +185,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     any other; extra columns are ignored. What is kept may be cut within a character, so it is given by its digest.
     """
     base = id_and_text(docs, id_col, text_col).select("__id", F.coalesce("__id", F.lit(-(2**63))).alias("i"), F.xxhash64("__text").alias("h"), F.col("__text").alias("text"))
-    spans = cut_lineage(repeated_spans(base, width, gram))
+    spans = repeated_spans(base, width, gram)
     per_doc = spans.groupBy("i", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans")).withColumnsRenamed({"i": "i1", "h": "h1"})
-    joined = base.join(per_doc, (F.col("i") == F.col("i1")) & (F.col("h") == F.col("h1")), "left").select("__id", "text", "spans")
+    joined = base.join(per_doc, (F.col("i") == F.col("i1")) & (F.col("h") == F.col("h1")), "left").select("__id", "i", "h", "text", "spans")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[], [], [], []]
-            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for text, spans in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 left, runs = remove_spans(data, [(x["s"], x["e"]) for x in spans or ()])
                 for col, v in zip(cols, (len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest()), strict=True):

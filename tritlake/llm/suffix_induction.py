@@ -27,12 +27,13 @@ _FAR = np.int64(1) << 60
 class DiskQueue:
     """Tuples (suffix, common prefix) in order of arrival. The file has no name, so it goes with the process."""
 
-    def __init__(self, buffer: int = BUFFER):
+    def __init__(self, buffer: int = BUFFER, wide: bool = True):
         self.buffer, self.file, self.stored, self.size = buffer, None, 0, 0
+        self.dtype = np.dtype(np.int64 if wide else np.int32)
         self.parts: list[np.ndarray] = []
 
     def push(self, pos: np.ndarray, lcp: np.ndarray) -> None:
-        self.parts.append(np.stack((pos, lcp), axis=1).astype(np.int64))
+        self.parts.append(np.stack((pos, lcp), axis=1).astype(self.dtype))
         self.size += len(pos)
         if self.size - self.stored > self.buffer:
             if self.file is None:
@@ -45,14 +46,14 @@ class DiskQueue:
     def read(self, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
         got = []
         if start < self.stored:
-            self.file.seek(start * 16)
-            end = min(stop, self.stored)
-            got.append(np.frombuffer(self.file.read((end - start) * 16), np.int64).reshape(-1, 2))
+            width, end = 2 * self.dtype.itemsize, min(stop, self.stored)
+            self.file.seek(start * width)
+            got.append(np.frombuffer(self.file.read((end - start) * width), self.dtype).reshape(-1, 2))
         if stop > self.stored:
             rest = np.concatenate(self.parts) if len(self.parts) > 1 else self.parts[0]
             self.parts = [rest]
             got.append(rest[max(0, start - self.stored) : stop - self.stored])
-        both = np.concatenate(got) if len(got) > 1 else got[0]
+        both = (np.concatenate(got) if len(got) > 1 else got[0]).astype(np.int64)
         return both[:, 0], both[:, 1]
 
     def blocks(self, backward: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -218,7 +219,7 @@ class _Scan:
 
     def __init__(self, x: np.ndarray, symbols: int, buffer: int):
         self.x = x
-        self.queues = [DiskQueue(buffer) for _ in range(symbols)]
+        self.queues = [DiskQueue(buffer, wide=len(x) >= 1 << 31) for _ in range(symbols)]
         self.since = np.full(symbols, _FAR)  # least common prefix passed since the last push
         self.pushed = np.zeros(symbols, bool)
 
