@@ -213,33 +213,43 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     base = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"), host.alias("host"), path.alias("path"))
     base = base.withColumn("key", F.xxhash64("url", "html"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [lines_of(t.as_py()) for t in b.column(2)]
-            # Only pages without a marked article need their neighbour's lines.
-            marked = [any(a > 0 for _, a in f) for f in found]
-            texts = [chosen(f, set()) if m else None for f, m in zip(found, marked, strict=True)]
-            lines = [[] if m else [x for x, _ in f] for f, m in zip(found, marked, strict=True)]
-            areas = [[] if m else [a for _, a in f] for f, m in zip(found, marked, strict=True)]
             hashes = [[xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x, _ in f] for f in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), b.column(5), pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(areas, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], names=["id", "url", "host", "path", "key", "text", "lines", "areas", "hashes"])
+            unmarked = [not any(a > 0 for _, a in f) for f in found]
+            yield pa.RecordBatch.from_arrays([b.column(5), b.column(3), b.column(4), pa.array(unmarked, pa.bool_()), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "host", "path", "unmarked", "hashes"])
 
-    parsed = cut_lineage(base.mapInArrow(cut, "id long, url string, host string, path string, key long, text string, lines array<string>, areas array<int>, hashes array<long>"))
-    keyed = parsed.groupBy("key").agg(F.min("host").alias("host"), F.min("path").alias("path"))
-    pairs = _neighbours(keyed)
-    open_ = parsed.filter("text is null").select("key").distinct()
-    wanted = pairs.join(open_, "key", "left_semi")
-    theirs = parsed.groupBy("key").agg(F.first("hashes").alias("theirs")).withColumnRenamed("key", "other")
-    wanted = wanted.join(theirs, "other").select(F.col("key").alias("k2"), "theirs")
+    # Digests of lines are kept; the texts, which only pages without a marked article need to wait for, are read again.
+    light = cut_lineage(base.mapInArrow(outline, "key long, host string, path string, unmarked boolean, hashes array<long>"))
+    keyed = light.groupBy("key").agg(F.min("host").alias("host"), F.min("path").alias("path"), F.max("unmarked").alias("unmarked"), F.first("hashes").alias("hashes"))
+    pairs = _neighbours(keyed.select("key", "host", "path"))
+    wanted = pairs.join(keyed.filter("unmarked").select("key"), "key", "left_semi")
+    wanted = wanted.join(keyed.select(F.col("key").alias("other"), F.col("hashes").alias("theirs")), "other").select(F.col("key").alias("k2"), "theirs")
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, urls, texts, lines, areas, mine, theirs = (b.column(i).to_pylist() for i in range(7))
-            out = [t if t is not None else chosen(list(zip(li, ar, strict=True)), common_lines(h, o) if o is not None else set()) for t, li, ar, h, o in zip(texts, lines, areas, mine, theirs, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["__id", "__url", "text", "n_chars"])
+            found = [lines_of(t.as_py()) for t in b.column(2)]
+            own = [chosen(f, set()) if any(a > 0 for _, a in f) else None for f in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(5), pa.array(own, pa.string()), pa.array([t.as_py() if o is None else None for t, o in zip(b.column(2), own, strict=True)], pa.string())], names=["id", "url", "key", "text", "html"])
+
+    read = base.mapInArrow(texts, "id long, url string, key long, text string, html string")
+    marked = read.filter("text is not null").select("id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    # Pages without a marked article: few or many, they are joined with their neighbours' lines by unique keys.
+    open_ = read.filter("text is null").join(wanted, F.col("key") == F.col("k2"), "left").select("id", "url", "html", "theirs")
 
-    done = parsed.join(wanted, parsed["key"] == wanted["k2"], "left").select("id", "url", "text", "lines", "areas", "hashes", "theirs")
-    return done.mapInArrow(finish, "__id long, __url string, text string, n_chars long").withColumnRenamed("__id", id_col).withColumnRenamed("__url", url_col)
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, urls, htmls, theirs = (b.column(i).to_pylist() for i in range(4))
+            out = []
+            for page, other in zip(htmls, theirs, strict=True):
+                lines = lines_of(page)
+                mine = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x, _ in lines]
+                out.append(chosen(lines, common_lines(mine, other) if other is not None else set()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["id", "url", "text", "n_chars"])
+
+    done = marked.union(open_.mapInArrow(finish, "id long, url string, text string, n_chars long"))
+    return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
