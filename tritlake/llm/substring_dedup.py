@@ -21,7 +21,7 @@ from .common import cut_lineage, id_and_text, table
 LEAST_WORDS = 6
 
 _LINE = re.compile(r"[^\n]+")
-_SENTENCE = re.compile(r"[^\s](?:[^.!?]|[.!?](?!\s|\Z))*[.!?]*", re.S)
+_STOP = re.compile(r"[.!?]+\s+")
 _WORDS = re.compile(r"\w+")
 
 
@@ -29,9 +29,16 @@ def units_of(text: str, least_words: int = LEAST_WORDS) -> list[tuple[int, int,
     """(start, end, digest) in code points of each line and each sentence with enough words, in order; a unit once."""
     out = []
     for line in _LINE.finditer(text):
-        spans = {(line.start(), line.end())}
-        spans.update(m.span() for m in _SENTENCE.finditer(text, *line.span()))
-        for s, e in sorted(spans):
+        at, end = line.span()
+        spans = [(at, end)]
+        for m in _STOP.finditer(text, at, end):
+            spans.append((at, m.start() + len(m[0].rstrip())))
+            at = m.end()
+        if at > line.start():
+            spans.append((at, end))
+        for s, e in spans:
+            if e - s < 2 * least_words - 1:
+                continue
             words = _WORDS.findall(text[s:e].lower())
             if len(words) >= least_words:
                 out.append((s, e, xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) - (1 << 63)))
@@ -54,7 +61,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, i
 
 
 def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """Per row: id, text (what is left), n_units, n_removed (units), removed_spans ("start:end" in code points, merged).
+    """Per row: id, text (what is left), n_removed (units), removed_spans ("start:end" in code points, merged).
 
     Null and empty texts have no units and give the empty text. Rows that repeat id and text have equal rank: the units
     that they hold first stay in each of them. A null id ranks before all others. Extra columns are ignored.
@@ -80,16 +87,15 @@ def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, n, gone, said = [], [], [], []
+            left, gone, said = [], [], []
             for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 rest, runs = cut(t, [(x["s"], x["e"]) for x in spans or ()])
                 left.append(rest)
-                n.append(len(units_of(t, least_words)))
                 gone.append(len(spans or ()))
                 said.append(",".join(f"{s}:{e}" for s, e in runs))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(left, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(said, pa.string())], names=["__id", "text", "n_units", "n_removed", "removed_spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(left, pa.string()), pa.array(gone, pa.int64()), pa.array(said, pa.string())], names=["__id", "text", "n_removed", "removed_spans"])
 
-    return joined.mapInArrow(finish, "__id long, text string, n_units long, n_removed long, removed_spans string").withColumnRenamed("__id", id_col)
+    return joined.mapInArrow(finish, "__id long, text string, n_removed long, removed_spans string").withColumnRenamed("__id", id_col)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
