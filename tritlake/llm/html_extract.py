@@ -1,7 +1,7 @@
 """HTML extraction by nearest-URL page differencing.
 
 A page is cut into text lines, one per block element, in page order. Pages are sorted by host and URL path; each is paired
-with the neighbour whose path shares the longest prefix. The two pages' lines are aligned by longest common subsequence,
+with the neighbour whose path shares the longest prefix (with both if they share as much). The pages' lines are aligned by longest common subsequence,
 and shared lines are template and are deleted. Markup decides where it speaks: lines of elements made for menus, notices,
 forms and the like go as well, and lines inside a marked article are the article and stay, shared or not.
 """
@@ -158,7 +158,7 @@ def _address(url: Column) -> tuple[Column, Column]:
 
 
 def _neighbours(pages: DataFrame) -> DataFrame:
-    """(key, host, path) -> (key, other): for each page the neighbour in (host, path, key) order of the longer shared path.
+    """(key, host, path) -> (key, other): for each page the neighbour in (host, path, key) order of the longer shared path, both if equal.
 
     Rows are dealt by ranges, so a hot host is spread; the rows at the ends of ranges, two for each range, meet on the driver.
     """
@@ -198,8 +198,10 @@ def _neighbours(pages: DataFrame) -> DataFrame:
                 r |= {f"{side}_key": other["key"], f"{side}_path": other["path"]}
         fixed.append(tuple(r[c] for c in ("key", "host", "path", "part", "before_key", "before_path", "after_key", "after_path", "edge")))
     whole = near.filter("not edge").union(spark.createDataFrame(fixed, near.schema)) if fixed else near
-    shared = lambda p: F.coalesce(F.length(F.regexp_extract(F.concat_ws("\u0001", "path", p), "^([^\u0001]*)[^\u0001]*\u0001\\1", 1)), F.lit(-1))
-    return whole.select("key", F.when(F.col("after_key").isNull() | (F.col("before_key").isNotNull() & (shared("before_path") >= shared("after_path"))), F.col("before_key")).otherwise(F.col("after_key")).alias("other")).filter("other is not null")
+    shared = lambda p: F.when(F.col(p).isNull(), -1).otherwise(F.length(F.regexp_extract(F.concat_ws("\u0001", "path", p), "^([^\u0001]*)[^\u0001]*\u0001\\1", 1)))
+    b, a = shared("before_path"), shared("after_path")
+    near_ = F.explode(F.array(F.when(b >= a, F.col("before_key")), F.when(a >= b, F.col("after_key")))).alias("other")
+    return whole.select("key", near_).filter("other is not null")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -225,7 +227,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     keyed = light.groupBy("key").agg(F.min("host").alias("host"), F.min("path").alias("path"), F.max("unmarked").alias("unmarked"), F.first("hashes").alias("hashes"))
     pairs = _neighbours(keyed.select("key", "host", "path"))
     wanted = pairs.join(keyed.filter("unmarked").select("key"), "key", "left_semi")
-    wanted = wanted.join(keyed.select(F.col("key").alias("other"), F.col("hashes").alias("theirs")), "other").select(F.col("key").alias("k2"), "theirs")
+    wanted = wanted.join(keyed.select(F.col("key").alias("other"), F.col("hashes").alias("theirs")), "other").groupBy(F.col("key").alias("k2")).agg(F.collect_list("theirs").alias("theirs"))  # two at most
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -245,7 +247,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             for page, other in zip(htmls, theirs, strict=True):
                 lines = lines_of(page)
                 mine = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x, _ in lines]
-                out.append(chosen(lines, common_lines(mine, other) if other is not None else set()))
+                out.append(chosen(lines, set().union(*(common_lines(mine, o) for o in other or ()))))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["id", "url", "text", "n_chars"])
 
     done = marked.union(open_.mapInArrow(finish, "id long, url string, text string, n_chars long"))
