@@ -345,3 +345,60 @@ ORACLE_SQL: dict[str, str] = {
 for _rule, _f in {"additive": "p + h + v", "best_two": "p + v", "v_dominant": "2 * p + h + 4 * v"}.items():
     ORACLE_SQL[f"fusion_{_rule}"] = build(f"SELECT qid, label, arg_max(cls, ({_f}) * 100 - cls) AS pred FROM hw GROUP BY qid, label")
 ORACLE_SQL["brute_dot_blocks"] = ORACLE_SQL["brute_dot"]
+
+
+# Queries that need several sets of parts: each set is a query of its own inside.
+
+_PCT = """SELECT c.*, CASE WHEN c.p > z.hi THEN 1 WHEN c.p < z.lo THEN -1 ELSE 0 END AS t FROM cell c JOIN (
+    SELECT id, CASE WHEN a = b THEN greatest(a - 1, 0) ELSE a END AS lo, CASE WHEN a = b THEN least(b + 1, 255) ELSE b END AS hi
+    FROM (SELECT id, s[22] AS a, s[43] AS b FROM (SELECT id, list_sort(list(p)) AS s FROM cell GROUP BY id))) z ON z.id = c.id"""
+_EYES = [None, {"tern": "SELECT *, CASE WHEN p > 192 THEN 1 WHEN p < 64 THEN -1 ELSE 0 END AS t FROM cell"}, {"tern": _PCT}]
+ORACLE_SQL["vote_multi_eye"] = "SELECT qid, tid, CAST(sum(votes) AS BIGINT) AS votes FROM (" + " UNION ALL ".join(f"SELECT * FROM ({build('SELECT qid, tid, votes FROM votespx', e)})" for e in _EYES) + ") GROUP BY qid, tid"
+
+_JOINT = {
+    "sig0": PARTS["sig"],
+    "wide": PARTS["wide"].replace("FROM sig", "FROM sig0"),
+    "sig": "SELECT id, label, q, 'joint' AS channel, pos, val FROM joint",
+    "adj": "SELECT CAST(a AS INT) AS val, CAST(xor(a, 1 << b) AS INT) AS nval FROM range(256) r(a), range(8) s(b)",
+}
+ORACLE_SQL["vote_joint_bitflip"] = build("SELECT qid, tid, votes FROM votes3", _JOINT)
+
+_TOPJ = build(f"""SELECT qid, tid, tlabel, votes, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, tid) AS rank FROM (
+    SELECT qid, tid, tlabel, CAST(sum(w) AS BIGINT) AS votes FROM pexact JOIN post USING (channel, pos, val) GROUP BY qid, tid, tlabel)) WHERE rank <= {K}""", _JOINT)
+_BAYES = """SELECT qid, label, arg_max(cls, v * 100 - cls) AS pred FROM (SELECT q.qid, q.label, cls, coalesce(v, 0) AS v FROM (SELECT DISTINCT qid, label FROM ranked) q CROSS JOIN cls LEFT JOIN (
+    SELECT qid, tlabel, sum(CASE WHEN e < 0 THEN -(-e // (1 + place)) ELSE e // (1 + place) END) AS v FROM (SELECT *, (combined + 100 * (div_sim + gdiv_sim)) * 2 AS e FROM ranked WHERE place <= 15) GROUP BY qid, tlabel) s ON s.qid = q.qid AND s.tlabel = cls) GROUP BY qid, label"""
+ORACLE_SQL["router_three_tier"] = build("""SELECT i.id AS qid, i.label, CAST(CASE WHEN k >= 12 THEN 1 WHEN k >= 9 THEN 2 ELSE 3 END AS INT) AS tier,
+    CASE WHEN k >= 12 THEN best WHEN k >= 9 THEN h.pred ELSE coalesce(b.pred, 0) END AS pred FROM img i LEFT JOIN conc c ON c.qid = i.id LEFT JOIN hotpred h ON h.qid = i.id LEFT JOIN bayes b ON b.qid = i.id WHERE i.q""",
+    {"top": f"SELECT * FROM ({_TOPJ})", "bayes": _BAYES, "conc": "SELECT qid, arg_max(tlabel, k * 100 - tlabel) AS best, max(k) AS k FROM (SELECT qid, tlabel, count(*) AS k FROM top GROUP BY qid, tlabel) GROUP BY qid"}, one_sided="0")
+
+ORACLE_SQL["early_exit"] = build("""SELECT qid, label, CAST(ord AS INT) AS ord, pred FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN s[1] * 2 > s[2] * 3 THEN ord ELSE 1000 - ord END) AS at_ FROM (
+    SELECT qid, label, ord, arg_max(cls, acc * 100 - cls) AS pred, list_sort(list(acc), 'DESC') AS s FROM (SELECT *, sum(score) OVER (PARTITION BY qid, cls ORDER BY ord) AS acc FROM steps) GROUP BY qid, label, ord)) WHERE at_ = 1""",
+    {"steps": """SELECT s.id AS qid, s.label, ord, cls, CAST(coalesce(cnt, 0) AS BIGINT) AS score FROM sig s JOIN (
+        SELECT pos, row_number() OVER (ORDER BY w DESC, pos) AS ord FROM ig WHERE channel = 'px') o ON o.pos = s.pos CROSS JOIN cls
+        LEFT JOIN hot ON hot.channel = 'px' AND hot.pos = s.pos AND hot.val = s.val AND hot.label = cls WHERE s.q AND s.channel = 'px'"""})
+
+_TRUNC = "CASE WHEN ({0}) < 0 THEN -(-({0}) // ({1})) ELSE ({0}) // ({1}) END"
+_STEP_H = _TRUNC.format("3 * c.h[k + 1] + CASE WHEN k = r.tlabel THEN 2 * r.ev ELSE -10 END", "4")
+_SEQ = f"SELECT *, {_TRUNC.format('combined', '256')} AS ev, {_TRUNC.format('(combined + 100 * (div_sim + gdiv_sim)) * 2', '1 + place')} AS ea FROM ranked"
+_START = "SELECT DISTINCT qid, label, 0 AS place, CAST([0, 0, 0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]) AS h FROM seq"
+_LAST = "SELECT qid, label, CAST(list_position(h, list_max(h)) - 1 AS INT) AS pred FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place DESC) AS rn FROM walk) WHERE rn = 1"
+ORACLE_SQL["cfc"] = build(_LAST, {"seq": _SEQ, "walk": f"{_START} UNION ALL SELECT c.qid, c.label, r.place, CAST(list_transform(range(10), lambda k: {_STEP_H}) AS BIGINT[]) FROM walk c JOIN seq r ON r.qid = c.qid AND r.place = c.place + 1 WHERE r.place <= 15"})
+ORACLE_SQL["pipeline_ab"] = build(_LAST, {"seq": _SEQ, "walk": f"""{_START} UNION ALL SELECT c.qid, c.label, r.place, CAST(list_transform(range(10), lambda k: CASE WHEN r.place <= 5 THEN c.h[k + 1] + CASE WHEN k = r.tlabel THEN r.ea ELSE 0 END ELSE {_STEP_H} END) AS BIGINT[])
+    FROM walk c JOIN seq r ON r.qid = c.qid AND r.place = c.place + 1 WHERE r.place <= 15"""})
+
+ORACLE_SQL["quantize_nonzero_percentile"] = build("""SELECT c.id, c.pos, CASE WHEN p > hi THEN 1 WHEN p < lo THEN -1 ELSE 0 END AS v FROM cell c JOIN (
+    SELECT id, CASE WHEN nz <= 10 OR a >= b THEN 85 ELSE a END AS lo, CASE WHEN nz <= 10 OR a >= b THEN 170 ELSE b END AS hi FROM (
+    SELECT id, nz, CASE WHEN a = 85 THEN 86 ELSE a END AS a, b FROM (
+    SELECT id, len(s) AS nz, CASE WHEN len(s) * 33 // 100 < 1 THEN 1 ELSE s[len(s) * 33 // 100] END AS a, CASE WHEN len(s) * 67 // 100 < 1 THEN 1 ELSE s[len(s) * 67 // 100] END AS b
+    FROM (SELECT id, coalesce(list_sort(list(p) FILTER (WHERE p > 0)), []) AS s FROM cell GROUP BY id)))) t ON t.id = c.id""")
+
+ORACLE_SQL["pair_revote"] = build("""SELECT qid, label, arg_max(cls, v * 100 - cls) AS pred FROM (SELECT b.qid, b.label, hot.label AS cls, sum(cnt * w) AS v FROM best b JOIN sig s ON s.id = b.qid
+    JOIN pairs g ON g.a = b.a AND g.b = b.b AND g.channel = s.channel AND g.pos = s.pos JOIN hot ON hot.channel = s.channel AND hot.pos = s.pos AND hot.val = s.val AND hot.label IN (b.a, b.b) GROUP BY 1, 2, 3) GROUP BY qid, label""",
+    {"best": "SELECT qid, label, min(cls) AS a, max(cls) AS b FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cls) AS rn FROM hsum) WHERE rn <= 2 GROUP BY qid, label",
+     "two": "SELECT r.a::INT AS a, s.b::INT AS b, channel, pos, val, label, cnt FROM range(10) r(a), range(10) s(b), hot WHERE r.a < s.b AND label IN (r.a, s.b)",
+     "pairs": """SELECT a, b, channel, pos, CASE WHEN most > 0 THEN greatest(1, CAST(floor(round(raw / most * 16, 6) + 0.5) AS INT)) ELSE 1 END AS w FROM (
+        SELECT *, max(raw) OVER (PARTITION BY a, b, channel) AS most FROM (SELECT a, b, channel, pos, round(hc - he / tot, 9) AS raw FROM (
+          SELECT a, b, channel, pos, sum(-n / tot * log2(n / tot)) AS hc, sum(n) AS tot FROM (
+            SELECT a, b, channel, pos, label, CAST(sum(cnt) AS DOUBLE) AS n, CAST(sum(sum(cnt)) OVER (PARTITION BY a, b, channel, pos) AS DOUBLE) AS tot FROM two GROUP BY a, b, channel, pos, label) GROUP BY a, b, channel, pos) x
+        JOIN (SELECT a, b, channel, pos, sum(CASE WHEN val = bg THEN 0.0 ELSE e END) AS he FROM (
+            SELECT *, -cnt * log2(cnt / CAST(sum(cnt) OVER (PARTITION BY a, b, channel, pos, val) AS DOUBLE)) AS e FROM two) JOIN bg USING (channel) GROUP BY a, b, channel, pos) y USING (a, b, channel, pos)))"""})
