@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import div, order_stat, total
+from .arrays import div, let, order_stat, total
 
 #: Default thresholds of the ternary quantizer: above `HI` is 1, below `LO` is -1.
 LO, HI = 85, 170
@@ -28,8 +28,11 @@ def clamp(x: Column, most: int) -> Column:
 
 
 def ternary(px: Column, lo: Column | int = LO, hi: Column | int = HI) -> Column:
+    if isinstance(lo, int) and isinstance(hi, int):
+        return F.transform(px, lambda p: F.when(p > hi, 1).when(p < lo, -1).otherwise(0))
     lo, hi = (F.lit(v) if isinstance(v, int) else v for v in (lo, hi))
-    return F.transform(px, lambda p: F.when(p > hi, 1).when(p < lo, -1).otherwise(0))
+    bounds = F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    return let(bounds, lambda b: F.transform(px, lambda p: F.when(p > b["hi"], 1).when(p < b["lo"], -1).otherwise(0)))
 
 
 def percentile_bounds(px: Column, low: tuple[int, int] = (1, 3), high: tuple[int, int] = (2, 3)) -> tuple[Column, Column]:
@@ -85,7 +88,8 @@ def pentary(px: Column, bounds: tuple[int, int, int, int] = (64, 128, 192, 224))
 
 def pentary_adaptive(px: Column) -> Column:
     a, b, c, d = (order_stat(px, div(F.size(px) * k, F.lit(5)).cast("int")) for k in (1, 2, 3, 4))
-    return F.transform(px, lambda p: F.when(p > d, 2).when(p > c, 1).when(p > b, 0).when(p > a, -1).otherwise(-2))
+    levels = F.array(a, b, c, d)
+    return let(levels, lambda q: F.transform(px, lambda p: F.when(p > q[3], 2).when(p > q[2], 1).when(p > q[1], 0).when(p > q[0], -1).otherwise(-2)))
 
 
 def balanced_digits(px: Column) -> Column:
@@ -147,7 +151,7 @@ class Grid:
 
     def gradient_magnitude(self, px: Column) -> Column:
         mag = F.zip_with(self.step_h(px), self.step_v(px), lambda a, b: F.least(F.lit(255), F.abs(a) + F.abs(b)))
-        return ternary_percentile(mag)
+        return let(mag, ternary_percentile)
 
     def local_contrast(self, px: Column, reach: int = 2, least: int = 15) -> Column:
         """Against the integer mean of the surrounding square, cut at the borders."""
@@ -157,7 +161,7 @@ class Grid:
             near = F.filter(
                 F.array(*(F.when((x + dx >= 0) & (x + dx < self.w) & (y + dy >= 0) & (y + dy < self.h), F.get(px, i + dy * self.w + dx)) for dy, dx in offsets)), lambda p: p.isNotNull()
             )
-            return v - div(total(near), F.size(near))
+            return v - let(near, lambda a: div(total(a), F.size(a)))
 
         return F.transform(self._map(px, one), lambda r: F.when(r > least, 1).when(r < -least, -1).otherwise(0))
 
@@ -186,9 +190,9 @@ class Grid:
     def joint_codes(self, px: Column, hg: Column, vg: Column, kind: str = "d") -> Column:
         """One byte per strip from the codes of three channels and, for kinds b and d, two bits for a change from left and above."""
         s = self.strips
-        right, below = self.transitions(px) if s > 1 else (F.array(), self.transitions(px)[1])
+        right, below = self.transitions(px) if s > 1 else (F.array().cast("array<int>"), self.transitions(px)[1])
 
-        def one(p: Column, k: Column) -> Column:
+        def one(p: Column, k: Column, right: Column, below: Column) -> Column:
             a, b = F.get(hg, k), F.get(vg, k)
             if kind == "c":
                 first = lambda c: div(c, F.lit(9)).cast("int")
@@ -202,7 +206,7 @@ class Grid:
                 out = out.bitwiseOR(F.shiftleft(v, shift))
             return out
 
-        return F.transform(px, one)
+        return let(F.struct(right.alias("right"), below.alias("below")), lambda m: F.transform(px, lambda p, k: one(p, k, m["right"], m["below"])))
 
     # Features
 
@@ -223,7 +227,7 @@ class Grid:
     def region_sums(self, d: Column, rows: int, cols: int) -> Column:
         """Sums of the negative cells in each region of a rows x cols grid (integer scaling, so regions may differ)."""
         region = self._map(d, lambda v, i, x, y: F.struct(v.alias("v"), (div(y * rows, F.lit(self.h)) * cols + div(x * cols, F.lit(self.w))).cast("int").alias("r")))
-        return F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), lambda k: total(F.transform(F.filter(region, lambda c: (c["r"] == k) & (c["v"] < 0)), lambda c: c["v"])).cast("int"))
+        return let(region, lambda a: F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), lambda k: total(F.transform(F.filter(a, lambda c: (c["r"] == k) & (c["v"] < 0)), lambda c: c["v"])).cast("int")))
 
     def profile(self, t: Column) -> Column:
         """Positive cells in each row."""
@@ -243,7 +247,7 @@ class Grid:
     def chirality(self, t: Column) -> Column:
         """Left minus right positive cells for each pair of rows."""
         side = self._map(t, lambda v, i, x, y: F.when(v > 0, F.when(x < self.w // 2, 1).otherwise(-1)).otherwise(0))
-        return F.transform(F.sequence(F.lit(0), F.lit(self.h // 2 - 1)), lambda p: total(F.slice(side, p * 2 * self.w + 1, F.lit(2 * self.w))).cast("int"))
+        return let(side, lambda a: F.transform(F.sequence(F.lit(0), F.lit(self.h // 2 - 1)), lambda p: total(F.slice(a, p * 2 * self.w + 1, F.lit(2 * self.w))).cast("int")))
 
     def symmetry(self, px: Column) -> Column:
         """Sum of |left - mirrored right|."""
@@ -293,17 +297,20 @@ class Grid:
 
     def gradient_map(self, hg: Column, vg: Column) -> Column:
         """Bins (h+1)*15 + (v+1)*5 + (divergence within +-2, + 2) of all cells."""
-        d = self.divergence(hg, vg)
-        return F.transform(hg, lambda a, i: (a + 1) * 15 + (F.get(vg, i) + 1) * 5 + clamp(F.get(d, i), 2) + 2)
+        return let(self.divergence(hg, vg), lambda d: F.transform(hg, lambda a, i: (a + 1) * 15 + (F.get(vg, i) + 1) * 5 + clamp(F.get(d, i), 2) + 2))
 
     def state_steps(self, hg: Column, vg: Column) -> Column:
         """Bins state * 8 + next state, to the right and below; a state is the kind of gradient of a cell."""
         state = F.zip_with(
             hg, vg, lambda a, b: F.when((a == 0) & (b == 0), 0).when(b == 0, F.when(a > 0, 1).otherwise(2)).when(a == 0, F.when(b > 0, 3).otherwise(4)).when(a == b, 5).otherwise(6)
         )
-        right = self._map(state, lambda v, i, x, y: F.when(x < self.w - 1, v * 8 + F.get(state, i + 1)))
-        below = self._map(state, lambda v, i, x, y: F.when(y < self.h - 1, v * 8 + F.get(state, i + self.w)))
-        return F.filter(F.concat(right, below), lambda b: b.isNotNull())
+
+        def steps(a: Column) -> Column:
+            right = self._map(a, lambda v, i, x, y: F.when(x < self.w - 1, v * 8 + F.get(a, i + 1)))
+            below = self._map(a, lambda v, i, x, y: F.when(y < self.h - 1, v * 8 + F.get(a, i + self.w)))
+            return F.filter(F.concat(right, below), lambda b: b.isNotNull())
+
+        return let(state, steps)
 
     # Resampling
 

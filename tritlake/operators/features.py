@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tritlake.functions.arrays import let
 from tritlake.functions.grid import Grid
 
 from .encode import planes
@@ -113,9 +114,8 @@ def histogram(d: DataFrame, bins: Column, keys: tuple[str, ...] = ("id",), size:
 
     Bins are counted within each row's array, so nothing is shuffled.
     """
-    d = d.select(*keys, bins.alias("__b"))
-    if size:
-        counted = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.struct(k.alias("bin"), F.size(F.filter("__b", lambda b: b == k)).cast("long").alias("n")))
-    else:
-        counted = F.transform(F.array_sort(F.array_distinct("__b")), lambda k: F.struct(k.alias("bin"), F.size(F.filter("__b", lambda b: b == k)).cast("long").alias("n")))
-    return d.select(*keys, F.explode(counted).alias("c")).select(*keys, "c.bin", "c.n")
+    def counted(a: Column) -> Column:
+        which = F.sequence(F.lit(0), F.lit(size - 1)) if size else F.array_sort(F.array_distinct(a))
+        return F.transform(which, lambda k: F.struct(k.alias("bin"), F.size(F.filter(a, lambda b: b == k)).cast("long").alias("n")))
+
+    return d.select(*keys, F.explode(let(bins, counted)).alias("c")).select(*keys, "c.bin", "c.n")
