@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tritlake.llm.common import cut_lineage, table
+from tritlake.llm.common import bounded_batches, cut_lineage, table
 from tritlake.llm.decontaminate import decontaminate
 from tritlake.llm.language_id import keep_identified
 from tritlake.llm.mixing import mix_sources, word_count
@@ -20,21 +20,25 @@ def _with_n_chars(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified with confidence."""
+    bounded_batches(spark)
     return keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash near-duplicates, the one with the smallest id."""
+    bounded_batches(spark)
     return drop_near_duplicates(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages: the heavily hit ones go, the others lose the passages."""
+    bounded_batches(spark)
     return _with_n_chars(decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets redacted."""
+    bounded_batches(spark)
     return _with_n_chars(redact_secrets(docs))
 
 
@@ -44,6 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat id, source and size are taken alike. Documents without words are not taken.
     """
+    bounded_batches(spark)
     plan = mix_sources(docs).filter("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("target").alias("target"), F.max("taken").alias("taken"))
     p = plan.select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__n"), "target", "taken")
     d = docs.withColumn("size", word_count(F.col("text")))

@@ -10,14 +10,13 @@ longest end, which gives leftmost non-overlapping matches; a filter on the value
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from re import _constants as _rc
 from re import _parser as _rp
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import id_and_text, per_text, table
 
@@ -283,15 +282,15 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The same rows and columns; secrets in `text_col` become [REDACTED]. A null text stays null."""
-    scanners: list[SecretScanner] = []
+    k = docs.columns.index(text_col)
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        if not scanners:
-            scanners.append(SecretScanner(rules))
-        return texts.map(lambda t: t if t is None else scanners[0].redact(t))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = SecretScanner(rules)
+        for b in batches:
+            clean = pa.array([scanner.redact(t.as_py()) if t.is_valid else None for t in b.column(k)], pa.string())
+            yield pa.RecordBatch.from_arrays([clean if i == k else c for i, c in enumerate(b.columns)], names=b.schema.names)
 
-    return docs.withColumn(text_col, clean(F.col(f"`{text_col}`")))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
