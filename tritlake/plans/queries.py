@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tritlake.functions import arrays as A
 from tritlake.functions import grid as G
+from tritlake.functions.lineage import kept
 from tritlake.operators import encode, evaluate, features, retrieve, route, score, train, vote
 from tritlake.operators.score import Weights
 from tritlake.sources.images import VECTOR_GRID as GRID
@@ -318,7 +319,7 @@ def vote_bagged(spark, sf):
 
 
 def _top(spark, sf, k: int = K) -> DataFrame:
-    return retrieve.top_exact(_index(spark, sf).votes(), k)
+    return kept(retrieve.top_exact(_index(spark, sf).votes(), k))
 
 
 @query
@@ -495,7 +496,7 @@ def stream_function(spark, sf):
 
 
 def _features(spark, sf) -> DataFrame:
-    return score.base_features(_top(spark, sf), features.described(_images(spark, sf), GRID))
+    return kept(score.base_features(_top(spark, sf), features.described(_images(spark, sf), GRID)))
 
 
 def _ranked(spark, sf) -> DataFrame:
@@ -619,10 +620,10 @@ def series_log(spark, sf):
 @query
 def router_three_tier(spark, sf):
     i = _index(spark, sf, joint=True, probe="none")
-    top = retrieve.top_exact(i.votes(), K)
+    top = kept(retrieve.top_exact(i.votes(), K))
     queries = _images(spark, sf).filter("is_query").select(F.col("id").alias("qid"), "label")
     d = features.described(_images(spark, sf), GRID)
-    return route.three_tier(queries, top, _hot_pred(spark, sf), lambda t: score.base_features(t, d, one_sided=0), sure=12, likely=9)
+    return route.three_tier(queries, top, _hot_pred(spark, sf), lambda t: kept(score.base_features(t, d, one_sided=0)), sure=12, likely=9)
 
 
 @query
