@@ -103,31 +103,45 @@ def remove_spans(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list
 def repeated_spans(base: DataFrame, width: int = WIDTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """(__id, i, h, text) -> (i, h, s, e): byte spans that repeated strings cover; i and h name a document."""
 
+    names = ["i", "h", "a", "c", "s", "n", "m"]
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Stretches of a batch of texts, equal ones as one row with m = 2; all their occurrences come as spans, m = 0.
+
+        A span has a key of its own in place of an anchor, so spans spread over the tasks of the join below.
+        """
         for b in batches:
+            parts = []
             for k in range(b.num_rows):
                 data = b.column(2)[k].as_py().encode("utf-8", "surrogatepass")
-                if len(data) < width:
-                    continue
-                for a, c, s, n in anchors(data, width, gram):
-                    m = len(a)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, b.column(0)[k].as_py())), pa.array(np.full(m, b.column(1)[k].as_py())), pa.array(a), pa.array(c), pa.array(s), pa.array(n.astype(np.int32))], names=["i", "h", "a", "c", "s", "n"])
-
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for b in find(batches):
-            held.append(b)
-            rows += b.num_rows
-            if rows >= 1 << 15:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, rows = [], 0
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    found = base.select("i", "h", "text").mapInArrow(gathered, "i long, h long, a long, c long, s long, n int")
-    again = found.groupBy("a").agg(F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("k > 1").select(F.col("a").alias("a1"), (F.col("lo") != F.col("hi")).alias("mixed"))
-    kept = cut_lineage(found.join(again, F.col("a") == F.col("a1")).drop("a1"))
-    stretches = kept.filter("mixed").groupBy("a", "c").agg(F.count("*").alias("k"), F.min(F.struct("i", "h", "s", "n")).alias("r"))
+                if len(data) >= width:
+                    for a, c, s, n in anchors(data, width, gram):
+                        parts.append((np.full(len(a), b.column(0)[k].as_py(), np.int64), np.full(len(a), b.column(1)[k].as_py(), np.int64), a, c, s, n))
+            if not parts:
+                continue
+            i, h, a, c, s, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((c, a))
+            new = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (c[order][1:] != c[order][:-1])))
+            size = np.diff(np.append(np.flatnonzero(new), len(order)))
+            m = np.minimum(size, 2)
+            first = order[new]
+            again = np.sort(order[np.repeat(size > 1, size)])  # in the order of the texts
+            if len(again):  # spans that touch are one
+                end = s[again] + n[again]
+                head = np.concatenate(([True], (i[again][1:] != i[again][:-1]) | (h[again][1:] != h[again][:-1]) | (s[again][1:] != end[:-1])))
+                at, stop = again[head], np.append(np.flatnonzero(head)[1:], len(again)) - 1
+                key = (s[at] * 0x9E3779B97F4A7C1 + i[at]) ^ h[at]
+                spans = [i[at], h[at], key, np.zeros(len(at), np.int64), s[at], end[stop] - s[at], np.zeros(len(at), np.int64)]
+            else:
+                spans = [np.zeros(0, np.int64)] * 7
+            cols = [np.concatenate((x, y)) for x, y in zip((i[first], h[first], a[first], c[first], s[first], n[first], m), spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols[:5]] + [pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.int32())], names=names)
+
+    found = base.select("i", "h", "text").mapInArrow(find, "i long, h long, a long, c long, s long, n int, m int")
+    again = found.filter("m > 0").groupBy("a").agg(F.sum("m").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("k > 1").select(F.col("a").alias("a1"), (F.col("lo") != F.col("hi")).alias("mixed"))
+    kept = found.join(again, F.col("a") == F.col("a1"), "left").filter("m = 0 or mixed is not null")
+    kept = cut_lineage(kept.withColumn("mixed", F.when(F.col("m") == 0, False).otherwise(F.col("mixed"))).drop("a1"))
+    stretches = kept.filter("mixed").groupBy("a", "c").agg(F.sum("m").alias("k"), F.min(F.struct("i", "h", "s", "n")).alias("r"))
     twice = stretches.filter("k > 1").select(F.col("a").alias("a1"), F.col("c").alias("c1"))
     covered = kept.filter("not mixed").select("i", "h", "s", "n").union(kept.filter("mixed").join(twice, (F.col("a") == F.col("a1")) & (F.col("c") == F.col("c1"))).select("i", "h", "s", "n"))
     covered = covered.select("i", "h", F.col("s"), (F.col("s") + F.col("n") + (width - 1)).alias("e"))
