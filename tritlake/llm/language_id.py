@@ -22,6 +22,8 @@ SAMPLE_ROWS, BUCKETS, TEMPER = 2_000, 1 << 15, 0.05
 SUFFIX_WEIGHT, HOST_WEIGHT, DECLARED_WEIGHT, LANGUAGES = 50.0, 20.0, 5.0, 64
 #: A document is accepted from this posterior on.
 ACCEPT = 0.8
+#: Keys over which the rows of a host are spread.
+SALTS = 64
 
 
 def _trigrams(text: str) -> np.ndarray:
@@ -122,8 +124,10 @@ def identify(docs: DataFrame, text: Column, declared: Column, host: Column, suff
     priors = hosts.join(suffixes, F.col("__suffix").eqNullSafe(F.col("__s2")))
     priors = priors.select(F.col("__host").alias("__h1"), F.col("__suffix").alias("__s1"), F.when(F.col("__host").isNull(), F.col("__sp")).otherwise(up(F.col("hc"), F.col("__sp"), HOST_WEIGHT)).alias("__prior"))
     key = lambda h, s: F.concat_ws("\u0001", F.coalesce(h, F.lit("\u0002")), F.coalesce(s, F.lit("\u0002")))
-    priors = priors.select(key(F.col("__h1"), F.col("__s1")).alias("__k1"), "__prior")
-    d = d.withColumn("__k", key(F.col("__host"), F.col("__suffix"))).join(priors, F.col("__k") == F.col("__k1"), "left")
+    # A host may hold a third of all rows: its rows are spread over SALTS keys, and each prior is there once for each.
+    priors = priors.select(key(F.col("__h1"), F.col("__s1")).alias("__k1"), "__prior", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt1"))
+    d = d.withColumns({"__k": key(F.col("__host"), F.col("__suffix")), "__salt": F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")})
+    d = d.join(priors, (F.col("__k") == F.col("__k1")) & (F.col("__salt") == F.col("__salt1")), "left")
     prior = F.coalesce(F.col("__prior"), arr(overall))
     score = F.zip_with(F.zip_with(F.when(F.col("__has"), F.col("__ll")).otherwise(arr([0.0] * n)), declared_ll, lambda a, b: a + b), prior, lambda a, p: a + F.log(p))
     d = d.withColumn("__score", score)
