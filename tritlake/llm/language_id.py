@@ -22,8 +22,8 @@ SAMPLE_ROWS, BUCKETS, TEMPER = 2_000, 1 << 15, 0.05
 SUFFIX_WEIGHT, HOST_WEIGHT, DECLARED_WEIGHT, LANGUAGES = 50.0, 20.0, 5.0, 64
 #: A document is accepted from this posterior on.
 ACCEPT = 0.8
-#: Keys over which the rows of a host are spread.
-SALTS = 64
+#: No key of the join with the priors holds much more than one in so many of all rows: larger hosts are spread over several keys.
+SPREAD = 1_000
 
 
 def _trigrams(text: str) -> np.ndarray:
@@ -100,9 +100,10 @@ def identify(docs: DataFrame, text: Column, declared: Column, host: Column, suff
     d = docs.withColumns({"__ll": likelihood(text), "__has": has_text, "__decl": F.when(F.lower(declared).isin(langs), F.lower(declared)), "__host": host, "__suffix": suffix})
     best = F.when(F.col("__has"), F.array_position(F.col("__ll"), F.array_max("__ll")).cast("int"))
     # Counts over all rows: one pass, grouped by everything that the priors and reliabilities need.
-    counted = d.select(best.alias("best"), "__decl", "__host", "__suffix").filter("best is not null")
+    counted = d.select(best.alias("best"), "__decl", "__host", "__suffix")
     by_lang = [F.coalesce(F.sum((F.col("best") == k + 1).cast("long")), F.lit(0)).cast("double") for k in range(n)]
-    cells = cut_lineage(counted.groupBy("__host", "__suffix", "__decl").agg(F.array(*by_lang).alias("c")))
+    every_cell = cut_lineage(counted.groupBy("__host", "__suffix", "__decl").agg(F.array(*by_lang).alias("c"), F.count("best").alias("seen"), F.count("*").alias("rows")))
+    cells = every_cell.filter("seen > 0")
     summed = [F.sum(F.col("c")[k]) for k in range(n)]
     small = cells.groupBy("__decl").agg(F.array(*summed).alias("c")).collect()
     total = np.sum([r["c"] for r in small], axis=0) if small else np.zeros(n)
@@ -124,9 +125,17 @@ def identify(docs: DataFrame, text: Column, declared: Column, host: Column, suff
     priors = hosts.join(suffixes, F.col("__suffix").eqNullSafe(F.col("__s2")))
     priors = priors.select(F.col("__host").alias("__h1"), F.col("__suffix").alias("__s1"), F.when(F.col("__host").isNull(), F.col("__sp")).otherwise(up(F.col("hc"), F.col("__sp"), HOST_WEIGHT)).alias("__prior"))
     key = lambda h, s: F.concat_ws("\u0001", F.coalesce(h, F.lit("\u0002")), F.coalesce(s, F.lit("\u0002")))
-    # A host may hold a third of all rows: its rows are spread over SALTS keys, and each prior is there once for each.
-    priors = priors.select(key(F.col("__h1"), F.col("__s1")).alias("__k1"), "__prior", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt1"))
-    d = d.withColumns({"__k": key(F.col("__host"), F.col("__suffix")), "__salt": F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")})
+    # A host may hold a third of all rows. Those with over 1/SPREAD of them, so at most SPREAD hosts, are broadcast with the
+    # number of keys that their rows are spread over; only their priors are repeated.
+    all_rows = every_cell.agg(F.sum("rows")).first()[0] or 0
+    hot = every_cell.groupBy(key(F.col("__host"), F.col("__suffix")).alias("__hot")).agg(F.sum("rows").alias("rows")).filter(F.col("rows") * SPREAD > all_rows)
+    hot = F.broadcast(hot.select("__hot", F.ceil(F.col("rows") * SPREAD / F.lit(max(all_rows, 1))).cast("int").alias("__keys")))
+    keys = F.coalesce(F.col("__keys"), F.lit(1))
+    priors = priors.select(key(F.col("__h1"), F.col("__s1")).alias("__k1"), "__prior").join(hot, F.col("__k1") == F.col("__hot"), "left")
+    priors = priors.select("__k1", "__prior", F.explode(F.sequence(F.lit(0), keys - 1)).alias("__salt1"))
+    hashable = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    d = d.withColumn("__k", key(F.col("__host"), F.col("__suffix"))).join(hot, F.col("__k") == F.col("__hot"), "left")
+    d = d.withColumn("__salt", F.pmod(F.xxhash64(*hashable), keys).cast("int"))
     d = d.join(priors, (F.col("__k") == F.col("__k1")) & (F.col("__salt") == F.col("__salt1")), "left")
     prior = F.coalesce(F.col("__prior"), arr(overall))
     score = F.zip_with(F.zip_with(F.when(F.col("__has"), F.col("__ll")).otherwise(arr([0.0] * n)), declared_ll, lambda a, b: a + b), prior, lambda a, p: a + F.log(p))
