@@ -1,9 +1,13 @@
 """Relational operators on micro fixtures, and two formulations of the same answer."""
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tritlake.operators import encode, retrieve, score, train, vote
+from tritlake.functions import fields
+from tritlake.functions.grid import Grid
+from tritlake.operators import encode, extend, retrieve, score, train, vote
 from tritlake.plans import sql
 from tritlake.plans.index import Index
 from tritlake.plans.queries import QUERIES
@@ -110,3 +114,39 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["qid", "label", "pred"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_distance_fields_against_all_edges(spark):
+    g = Grid(5, 4)
+    planes = [[1] * 20, [-1] * 20, [1 if k % 5 < 3 else -1 for k in range(20)], [0 if k == 7 else -1 for k in range(20)]]
+    d = spark.createDataFrame(list(enumerate(planes)), "id int, t array<int>")
+    got = {r.id: r for r in d.select("id", fields.signed_distance(g, F.col("t")).alias("s"), fields.edge_distance(g, F.col("t")).alias("e")).collect()}
+
+    def plain(t, alone, differs, side):
+        cells = [(k // 5, k % 5) for k in range(20)]
+        near = lambda a, b: abs(a[0] - b[0]) + abs(a[1] - b[1])
+        edges = [c for c, v in zip(cells, t) if alone(v) or any(near(c, o) == 1 and differs(v, u) for o, u in zip(cells, t))]
+        return [max(-128, min(127, side(v) * min((near(c, o) for o in edges), default=999))) for c, v in zip(cells, t)]
+
+    for k, t in enumerate(planes):
+        assert got[k].s == plain(t, lambda v: v == 0, lambda v, u: v != u, lambda v: -1 if v > 0 else 1 if v < 0 else 0)
+        assert got[k].e == plain(t, lambda v: False, lambda v, u: (v == 0) != (u == 0), lambda v: -1 if v else 1)
+
+
+def test_principal_components_against_a_library(spark):
+    x = np.random.default_rng(1).integers(-1, 2, (60, 6)) * [3, 1, 1, 2, 1, 1]
+    d = spark.createDataFrame([(False, r.tolist()) for r in x], "is_query boolean, t array<int>")
+    mean, comps = extend.principal_components(d, 6, 2, 2000)
+    assert np.allclose(mean, x.mean(axis=0))
+    true = np.linalg.eigh(np.cov(x.T, bias=True))[1][:, ::-1].T[:2]
+    assert np.allclose(np.abs((comps * true).sum(axis=1)), 1, atol=1e-6)
+    none = extend.principal_components(d.limit(0), 6, 2)
+    assert np.isfinite(none[1]).all()
+
+
+def test_propagation_waves_and_no_anchor(spark):
+    t = spark.createDataFrame([(1, [1, 1, 1]), (2, [1, 1, 0]), (3, [-1, 0, -1]), (4, [-1, -1, -1])], "id int, t array<int>")
+    p = spark.createDataFrame([(1, 5, 9), (2, 7, 1), (3, 7, 1), (4, 2, 9)], "qid int, pred int, agree int")
+    got = {(r.qid, r.pred, r.wave) for r in extend.propagate(t, p, 9, k=1, agree=1).collect()}
+    assert got == {(1, 5, 0), (2, 5, 1), (3, 2, 1), (4, 2, 0)}
+    assert {(r.qid, r.pred) for r in extend.propagate(t, p, 10).collect()} == {(1, 5), (2, 7), (3, 7), (4, 2)}

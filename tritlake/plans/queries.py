@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tritlake.functions import arrays as A
+from tritlake.functions import fields
 from tritlake.functions import grid as G
 from tritlake.functions.lineage import kept
-from tritlake.operators import encode, evaluate, features, retrieve, route, score, train, vote
+from tritlake.operators import encode, evaluate, extend, features, retrieve, route, score, train, vote
 from tritlake.operators.score import Weights
 from tritlake.sources.images import VECTOR_GRID as GRID
 from tritlake.sources.images import folds, vectors_as_images
@@ -760,3 +761,77 @@ def disagreement(spark, sf):
 @query
 def accuracy_interval(spark, sf):
     return evaluate.binomial_interval(evaluate.accuracy(_hot_pred(spark, sf)))
+
+
+# Distance fields, colour and region maps, knots, rescue, propagation, components
+
+
+@query
+def signed_distance(spark, sf):
+    return _cells(_planes(spark, sf), fields.signed_distance(GRID, F.col("t")))
+
+
+@query
+def edge_distance(spark, sf):
+    return _cells(_planes(spark, sf), fields.edge_distance(GRID, F.col("hg")))
+
+
+def _hot_of(s: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    scores = vote.hot_scores(s, train.hot_map(s) if hot is None else hot, train.background(s))
+    return vote.argmax(scores, "score", keys=("qid", "label"))
+
+
+@query
+def hotmap_distance_field(spark, sf):
+    return _hot_of(extend.field_signatures(_images(spark, sf), GRID, least=0))
+
+
+@query
+def gradient_map_regions(spark, sf):
+    inverted = F.transform("px", lambda p: 255 - p)
+    return extend.gradient_histograms(_images(spark, sf), GRID, {"r": F.col("px"), "g": inverted}, 2, 2)
+
+
+@query
+def block_cascade(spark, sf):
+    c = encode.with_codes(_images(spark, sf), GRID).select("id", F.concat("c_px", "c_hg", "c_vg").alias("codes"))
+    d = _top(spark, sf).select("qid", "tid").join(c.select(F.col("id").alias("qid"), F.col("codes").alias("a")), "qid").join(c.select(F.col("id").alias("tid"), F.col("codes").alias("b")), "tid")
+    return d.select("qid", "tid", fields.cascade_score(F.col("a"), F.col("b"), 3 * GRID.h * GRID.strips, (1, 3, 9, 27, 81)).alias("score"))
+
+
+@query
+def hotmap_uniform_knots(spark, sf):
+    s, n = _sigs(spark, sf), GRID.h * GRID.strips
+    return _hot_of(extend.at_knots(s, extend.nearest_knots(s, extend.uniform_knots(n, 4), n, GRID.strips)))
+
+
+@query
+def hotmap_variance_knots(spark, sf):
+    s, n = _sigs(spark, sf), GRID.h * GRID.strips
+    knots = extend.variance_knots(s.filter("channel = 'px'"), 4)
+    return _hot_of(extend.at_knots(s, extend.nearest_knots(s, knots, n, GRID.strips)))
+
+
+@query
+def hotmap_interpolated(spark, sf):
+    s = _sigs(spark, sf)
+    return _hot_of(s, extend.interpolated_map(s, GRID.strips, GRID.h))
+
+
+@query
+def jitter_rescue(spark, sf):
+    i = _index(spark, sf, probe="none", channels=("px",))
+    return _vote_rows(extend.rescued_votes(_images(spark, sf), GRID, i.votes(), i.ig, i.bg, train.postings(i.sigs, i.bg), 300))
+
+
+@query
+def label_propagation(spark, sf):
+    n = _top(spark, sf).groupBy("qid", "tlabel").agg(F.count("*").alias("n"))
+    preds = n.groupBy("qid").agg(F.max_by("tlabel", F.struct("n", -F.col("tlabel"))).alias("pred"), F.max("n").alias("agree"))
+    return extend.propagate(_planes(spark, sf), preds, 9, agree=3)
+
+
+@query
+def ternary_components(spark, sf):
+    d = extend.ternary_components(_planes(spark, sf), GRID, 8)
+    return _cells(d, F.col("pc"))

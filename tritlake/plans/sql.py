@@ -402,3 +402,43 @@ ORACLE_SQL["pair_revote"] = build("""SELECT qid, label, arg_max(cls, v * 100 - c
             SELECT a, b, channel, pos, label, CAST(sum(cnt) AS DOUBLE) AS n, CAST(sum(sum(cnt)) OVER (PARTITION BY a, b, channel, pos) AS DOUBLE) AS tot FROM two GROUP BY a, b, channel, pos, label) GROUP BY a, b, channel, pos) x
         JOIN (SELECT a, b, channel, pos, sum(CASE WHEN val = bg THEN 0.0 ELSE e END) AS he FROM (
             SELECT *, -cnt * log2(cnt / CAST(sum(cnt) OVER (PARTITION BY a, b, channel, pos, val) AS DOUBLE)) AS e FROM two) JOIN bg USING (channel) GROUP BY a, b, channel, pos) y USING (a, b, channel, pos)))"""})
+
+_EDGE = """SELECT a.id, a.label, a.q, a.pos, a.y, a.x, a.{v} AS v, {alone} bool_or({differs}) AS e FROM grad a JOIN grad b ON b.id = a.id AND abs(a.y - b.y) + abs(a.x - b.x) = 1
+    GROUP BY a.id, a.label, a.q, a.pos, a.y, a.x, a.{v}"""
+_FIELD = """SELECT a.id, a.label, a.q, a.pos, a.y, a.x, CAST(greatest(-128, least(127, {side} * coalesce(min(abs(a.y - b.y) + abs(a.x - b.x)), 999))) AS INT) AS d
+    FROM edge a LEFT JOIN edge b ON b.id = a.id AND b.e GROUP BY a.id, a.label, a.q, a.pos, a.y, a.x, a.v"""
+_SIGNED = {"edge": _EDGE.format(v="t", alone="a.t = 0 OR", differs="b.t <> a.t"), "field": _FIELD.format(side="CASE WHEN a.v > 0 THEN -1 WHEN a.v < 0 THEN 1 ELSE 0 END")}
+ORACLE_SQL["signed_distance"] = build("SELECT id, pos, d AS v FROM field", _SIGNED)
+ORACLE_SQL["edge_distance"] = build("SELECT id, pos, d AS v FROM field", {"edge": _EDGE.format(v="hg", alone="", differs="(b.hg <> 0) <> (a.hg <> 0)"), "field": _FIELD.format(side="CASE WHEN a.v <> 0 THEN -1 ELSE 1 END")})
+_HOTPRED = "SELECT qid, label, pred FROM hotpred"
+ORACLE_SQL["hotmap_distance_field"] = build(_HOTPRED, _SIGNED | {"chan": "SELECT id, label, q, 'sdf' AS channel, y, x, CASE WHEN d > 0 THEN 1 WHEN d < 0 THEN -1 ELSE 0 END AS t FROM field"})
+ORACLE_SQL["gradient_map_regions"] = build("""SELECT id, channel, CAST(y * 2 // 8 * 2 + x * 2 // 8 AS INT) AS region,
+    CAST(CASE WHEN a > 10 THEN 30 WHEN a < -10 THEN 0 ELSE 15 END + CASE WHEN b > 10 THEN 10 WHEN b < -10 THEN 0 ELSE 5 END
+    + CASE WHEN abs(a) + abs(b) < 5 THEN 0 WHEN abs(a) + abs(b) < 20 THEN 1 WHEN abs(a) + abs(b) < 50 THEN 2 WHEN abs(a) + abs(b) < 100 THEN 3 ELSE 4 END AS INT) AS bin, count(*) AS n
+    FROM (SELECT id, y, x, 'r' AS channel, gx AS a, gy AS b FROM stepped UNION ALL SELECT id, y, x, 'g', -gx, -gy FROM stepped) GROUP BY 1, 2, 3, 4""")
+_UP = "SELECT qid, tid, k // 3 AS k, min(m) AS m FROM {m} GROUP BY qid, tid, k // 3 HAVING count(*) = 3"
+ORACLE_SQL["block_cascade"] = build("""SELECT qid, tid, CAST(sum(m * w) AS BIGINT) AS score FROM (SELECT qid, tid, m, 1 AS w FROM m0 UNION ALL SELECT qid, tid, m, 3 FROM m1
+    UNION ALL SELECT qid, tid, m, 9 FROM m2 UNION ALL SELECT qid, tid, m, 27 FROM m3) GROUP BY qid, tid""", {
+    "m0": """SELECT qid, tid, a.pos + CASE a.channel WHEN 'px' THEN 0 WHEN 'hg' THEN 16 ELSE 32 END AS k, CAST(a.val = b.val AS INT) AS m
+        FROM top JOIN sig a ON a.id = qid JOIN sig b ON b.id = tid AND b.channel = a.channel AND b.pos = a.pos""",
+    "m1": _UP.format(m="m0"), "m2": _UP.format(m="m1"), "m3": _UP.format(m="m2")})
+_AT_KNOTS = {"sig0": PARTS["sig"], "sig": "SELECT id, label, q, channel, knot AS pos, val FROM sig0 JOIN knotof USING (pos)"}
+_KNOT_OF = """SELECT CAST(p AS INT) AS pos, CAST(arg_min(k, ((p // 2 - kp // 2) * (p // 2 - kp // 2) + (p % 2 - kp % 2) * (p % 2 - kp % 2)) * 100 + k) AS INT) AS knot FROM range(16) a(p), knots GROUP BY p"""
+ORACLE_SQL["hotmap_uniform_knots"] = build(_HOTPRED, _AT_KNOTS | {"knotof": _KNOT_OF, "knots": "SELECT k, k * 4 AS kp FROM range(4) b(k)"})
+ORACLE_SQL["hotmap_variance_knots"] = build(_HOTPRED, _AT_KNOTS | {"knotof": _KNOT_OF, "knots": """SELECT row_number() OVER (ORDER BY s DESC, pos) - 1 AS k, pos AS kp FROM (
+    SELECT pos, count(*) * sum(val * val) - sum(val) * sum(val) AS s FROM sig0 WHERE NOT q AND channel = 'px' GROUP BY pos) ORDER BY s DESC, pos LIMIT 4"""})
+ORACLE_SQL["hotmap_interpolated"] = build(_HOTPRED, {"hot0": PARTS["hot"], "mix": """SELECT CAST(p AS INT) AS at_, CAST(CASE WHEN j = 0 OR p // 8 * 4 + 4 >= 8 THEN p // 8 * 4 ELSE p // 8 * 4 + 4 END * 2 AS INT) AS pos,
+    CASE WHEN j = 0 THEN 1 - (p // 2 % 4) / 4 ELSE (p // 2 % 4) / 4 END AS share FROM range(16) a(p), range(2) b(j)""",
+    "hot": "SELECT channel, at_ AS pos, val, label, CAST(floor(sum(cnt * share) + 0.5) AS BIGINT) AS cnt FROM hot0 JOIN mix USING (pos) GROUP BY channel, at_, val, label HAVING floor(sum(cnt * share) + 0.5) > 0"})
+ORACLE_SQL["jitter_rescue"] = build("SELECT qid, tid, CAST(sum(votes) AS BIGINT) AS votes FROM (SELECT qid, tid, votes FROM votespx UNION ALL SELECT * FROM extra) GROUP BY qid, tid", {
+    "poor": "SELECT id FROM img LEFT JOIN (SELECT qid, count(*) AS n FROM votespx GROUP BY qid) v ON v.qid = id WHERE q AND coalesce(n, 0) < 300",
+    "shifted": """SELECT c.id, dx, dy, c.y, c.x, coalesce(n.t, -1) AS t FROM poor JOIN tern c ON c.id = poor.id CROSS JOIN range(-1, 2) a(dx) CROSS JOIN range(-1, 2) b(dy)
+        LEFT JOIN tern n ON n.id = c.id AND n.y = c.y - dy AND n.x = c.x - dx WHERE dx <> 0 OR dy <> 0""",
+    "shsig": "SELECT id AS qid, 'px' AS channel, CAST(y * 2 + x // 3 AS INT) AS pos, CAST(sum((t + 1) * CASE x % 3 WHEN 0 THEN 9 WHEN 1 THEN 3 ELSE 1 END) AS INT) AS val FROM shifted WHERE x < 6 GROUP BY id, dx, dy, y, x // 3",
+    "extra": "SELECT qid, tid, w // 2 AS votes FROM shsig JOIN ig USING (channel, pos) JOIN bg USING (channel) JOIN post USING (channel, pos, val) WHERE val <> bg AND w > 1"})
+ORACLE_SQL["label_propagation"] = build("""SELECT qid, coalesce(new, pred) AS pred, CAST(CASE WHEN agree >= 9 THEN 0 WHEN n >= 3 THEN 1 ELSE 2 END AS INT) AS wave FROM st LEFT JOIN won USING (qid)""", {
+    "st": "SELECT qid, arg_max(tlabel, n * 100 - tlabel) AS pred, max(n) AS agree FROM (SELECT qid, tlabel, count(*) AS n FROM top GROUP BY qid, tlabel) GROUP BY qid",
+    "anchors": "SELECT qid AS aid, pred AS cls FROM st WHERE agree >= 9 ORDER BY md5(CAST(qid AS VARCHAR)), qid LIMIT 500",
+    "sims": "SELECT qid, aid, cls, sum(a.t * b.t) AS sim FROM st CROSS JOIN anchors JOIN tern a ON a.id = qid JOIN tern b ON b.id = aid AND b.pos = a.pos WHERE agree < 9 GROUP BY qid, aid, cls",
+    "nearest": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, aid) AS r FROM sims) WHERE r <= 7",
+    "won": "SELECT qid, arg_max(cls, n * 100 - cls) AS new, max(n) AS n FROM (SELECT qid, cls, count(*) AS n FROM nearest GROUP BY qid, cls) GROUP BY qid"})
