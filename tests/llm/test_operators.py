@@ -344,3 +344,15 @@ def test_empty_tables(docs):
     none = docs.limit(0)
     for op in (sd.drop_repeated_units, sx.remove_repeats, sh.find_near_duplicates, mk.media_features, mx.mix_sources, ss.find_secrets, li.keep_identified):
         assert op(none).count() == 0
+
+
+def test_spread_hosts_get_the_same_answers(spark, monkeypatch):
+    rows = [(i, f"the words of row {i} and more of them" if i % 3 else f"die Worte der Zeile {i} und mehr", "en" if i % 3 else "de", "hot" if i % 2 else None if i % 5 else f"s{i}") for i in range(60)]
+    rows += [(90, None, None, "hot"), (91, "", "en", None), (91, "", "en", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"rows": F.lit(1), "m": F.create_map(F.lit("a"), F.lit(1))})
+    want = None
+    for spread in (1, 7, 1_000):
+        monkeypatch.setattr(li, "SPREAD", spread)
+        got = Counter(tuple(r) for r in li._of_documents(d).select("doc_id", "__lang", "__confidence", "__accepted").collect())
+        assert sum(got.values()) == len(rows) and got == (want or got)
+        want = got
