@@ -112,6 +112,14 @@ def test_substring_dedup(docs, texts):
     assert not r[3].removed_spans and r[60].n_removed and r[61].n_removed
 
 
+def test_a_line_does_not_repeat_itself(spark):
+    fox = "The quick brown fox jumps over it."
+    rows = [(1, f"{fox} "), (2, f"... {fox.replace('fox', 'cat')}"), (3, f"{fox.replace('fox', 'dog')}\r\nAnother line of more than six words.\r\n")]
+    rows += [(4, "One sentence that stands here only once. And one sentence that comes back."), (5, "And one sentence that comes back.\r\n")]
+    got = {r.doc_id: r for r in sd.drop_repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].text for i in (1, 2, 3, 4)] == [t for _, t in rows[:4]] and got[5].text == "\r\n"
+
+
 def test_fingerprints_and_components(docs, texts):
     def plain(t):
         w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))

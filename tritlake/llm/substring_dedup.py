@@ -26,20 +26,29 @@ _WORDS = re.compile(r"\w+")
 
 
 def units_of(text: str, least_words: int = LEAST_WORDS) -> list[tuple[int, int, int]]:
-    """(start, end, digest) in code points of each line and each sentence with enough words, in order; a unit once."""
+    """(start, end, digest) in code points of each line and each sentence with enough words, in order; a unit once.
+
+    Lines come without the white space at their ends. A sentence with the same words as its line is not a unit of its own.
+    """
     out = []
     for line in _LINE.finditer(text):
-        at, end = line.span()
+        at = first = line.start() + len(line[0]) - len(line[0].lstrip())
+        end = at + len(line[0].strip())
+        whole = None
         spans = [(at, end)]
         for m in _STOP.finditer(text, at, end):
             spans.append((at, m.start() + len(m[0].rstrip())))
             at = m.end()
-        if at > line.start():
+        if at > first:
             spans.append((at, end))
         for s, e in spans:
             if e - s < 2 * least_words - 1:
                 continue
             words = _WORDS.findall(text[s:e].lower())
+            if words == whole:
+                continue
+            if whole is None:
+                whole = words
             if len(words) >= least_words:
                 out.append((s, e, xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) - (1 << 63)))
     return out
