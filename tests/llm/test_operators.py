@@ -120,6 +120,14 @@ def test_a_line_does_not_repeat_itself(spark):
     assert [got[i].text for i in (1, 2, 3, 4)] == [t for _, t in rows[:4]] and got[5].text == "\r\n"
 
 
+def test_lines_of_any_length_are_units(spark, tmp_path):
+    rows = [(1, "Read more\n今日は天気がいい。\nทางซ้าย\nx\n---"), (2, "read MORE.\n今日は天気がいい\nทางซาย\nX\n---"), (3, "No. That is all. Of, edti oner. 今日は天気がいいですね. end"), (4, "No. It is not. Of, edti oner. 今日は天気がいいですね. stop")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_removed) for r in sd.op1_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got[1] == (rows[0][1], 0) and got[2] == ("\n\nทางซาย\n\n---", 3)
+    assert got[3] == (rows[2][1], 0) and got[4] == ("No. It is not.   stop", 2)
+
+
 def test_fingerprints_and_components(docs, texts):
     def plain(t):
         w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))

@@ -1,6 +1,6 @@
 """Substring dedup by line and sentence hashing.
 
-Units are the lines of a text and the sentences of each line. A unit's digest is that of its normalised words. Digests are
+Units are the lines of a text, for op1 of any length, and the sentences of each line. A unit's digest is that of its normalised words. Digests are
 counted over the whole corpus with map-side combination; of each repeated unit the occurrence of least rank (document id,
 text digest, offset) stays and every other one is removed, with its offsets in the original text kept.
 """
@@ -8,6 +8,8 @@ text digest, offset) stays and every other one is removed, with its offsets in t
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,20 +19,34 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, id_and_text, table
 
-#: Units of fewer words stay: short ones repeat by chance.
+#: Units of fewer words stay, unless every line is asked for.
 LEAST_WORDS = 6
+#: With every line, sentences within a line stay if their words, a space between each two, have fewer code points ("Dr.", "No."). Six words have as many at least.
+LEAST_CHARS = 11
 
 _LINE = re.compile(r"[^\n]+")
 _STOP = re.compile(r"[.!?]+\s+")
 _WORDS = re.compile(r"\w+")
+# Vowel signs and tones of Indic scripts and Thai are marks, which are not in \w; short lines that differ in them are not equal.
+_MARKS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
+_MARKED_WORDS = re.compile(f"[\\w{''.join(sorted(_MARKS))}]+")
 
 
-def units_of(text: str, least_words: int = LEAST_WORDS) -> list[tuple[int, int, int]]:
+def _finder(text: str) -> re.Pattern[str]:
+    """What finds the words of a text and its parts; the slow pattern only where a mark is, as else both find the same."""
+    try:
+        text.encode("latin-1")  # no marks there
+    except UnicodeEncodeError:
+        return _WORDS if _MARKS.isdisjoint(text.lower()) else _MARKED_WORDS
+    return _WORDS
+
+
+def units_of(text: str, least_words: int = LEAST_WORDS, every_line: bool = False) -> list[tuple[int, int, int]]:
     """(start, end, digest) in code points of each line and each sentence with enough words, in order; a unit once.
 
-    Lines come without the white space at their ends. A sentence with the same words as its line is not a unit of its own.
+    With `every_line` a line needs one word and a sentence LEAST_CHARS, which are not counted in words parted by spaces. Lines come without the white space at their ends. A sentence with the same words as its line is not a unit of its own.
     """
-    out = []
+    out, finder = [], _finder(text)
     for line in _LINE.finditer(text):
         at = first = line.start() + len(line[0]) - len(line[0].lstrip())
         end = at + len(line[0].strip())
@@ -42,15 +58,17 @@ def units_of(text: str, least_words: int = LEAST_WORDS) -> list[tuple[int, int,
         if at > first:
             spans.append((at, end))
         for s, e in spans:
-            if e - s < 2 * least_words - 1:
+            is_line = whole is None
+            if e - s < (LEAST_CHARS if every_line else 2 * least_words - 1) and not (every_line and is_line):
                 continue
-            words = _WORDS.findall(text[s:e].lower())
+            words = finder.findall(text[s:e].lower())
             if words == whole:
                 continue
-            if whole is None:
+            if is_line:
                 whole = words
-            if len(words) >= least_words:
-                out.append((s, e, xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) - (1 << 63)))
+            joined = " ".join(words)
+            if (joined and (is_line or len(joined) >= LEAST_CHARS)) if every_line else len(words) >= least_words:
+                out.append((s, e, xxhash.xxh3_64_intdigest(joined.encode("utf-8", "surrogatepass")) - (1 << 63)))
     return out
 
 
@@ -69,7 +87,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, i
     return "".join([*parts, text[at:]]), [(s, e) for s, e in runs]
 
 
-def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, every_line: bool = False) -> DataFrame:
     """Per row: id, text (what is left), n_removed (units), removed_spans ("start:end" in code points, merged).
 
     Null and empty texts have no units and give the empty text. Rows that repeat id and text have equal rank: the units
@@ -82,7 +100,7 @@ def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for k in range(0, b.num_rows, 256):
                 rows = []
                 for i, h, t in zip(*(b.column(j).slice(k, 256).to_pylist() for j in range(3)), strict=True):
-                    rows += [(i, h, s, e, d) for s, e, d in units_of(t, least_words)]
+                    rows += [(i, h, s, e, d) for s, e, d in units_of(t, least_words, every_line)]
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["i", "h", "s", "e", "d"])
 
@@ -108,4 +126,4 @@ def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_units(table(spark, sf_dir, "documents"))
+    return drop_repeated_units(table(spark, sf_dir, "documents"), every_line=True)
