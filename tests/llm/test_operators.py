@@ -372,3 +372,14 @@ def test_spread_hosts_get_the_same_answers(spark, monkeypatch):
         got = Counter(tuple(r) for r in li._of_documents(d).select("doc_id", "__lang", "__confidence", "__accepted").collect())
         assert sum(got.values()) == len(rows) and got == (want or got)
         want = got
+
+
+def test_rare_languages_and_copies_in_the_models(spark):
+    rows = [(f"the words of row {i} and more of them", "en") for i in range(400)] + [("die Worte der Zeile", "de"), ("les mots de la ligne", "fr")]
+    many = spark.createDataFrame(rows, "t string, l string")
+    langs, _ = li.fit_models(many, F.col("t"), F.col("l"), sample_rows=10)
+    assert langs == ["de", "en", "fr"]
+    # Copies change no model, nor do they keep another text out.
+    few = spark.createDataFrame(rows[-40:], "t string, l string")
+    copies = spark.createDataFrame(rows[-40:] + [rows[-3]] * 500 + [rows[-1]] * 500, "t string, l string")
+    assert (li.fit_models(few, F.col("t"), F.col("l"), 50)[1] == li.fit_models(copies, F.col("t"), F.col("l"), 50)[1]).all()

@@ -2,8 +2,8 @@
 
 Four kinds of evidence are added as log odds: the text's likelihood under hashed byte-trigram models, the declared
 language through the measured reliability of declarations, the address suffix, and a prior of the host that is smoothed
-towards its suffix, which is smoothed towards the whole corpus. The models are fitted on a bounded sample of declared rows;
-the reliabilities and the priors are counts over all rows.
+towards its suffix, which is smoothed towards the whole corpus. The languages are counted over all rows; the models are fitted
+on a bounded sample of distinct texts of each; the reliabilities and the priors are counts over all rows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, table
 
-#: Most rows that the text models are fitted on; hashed trigrams; weight of a trigram's log likelihood.
+#: About the most distinct texts of a language that its model is fitted on; hashed trigrams; weight of a trigram's log likelihood.
 SAMPLE_ROWS, BUCKETS, TEMPER = 2_000, 1 << 15, 0.05
 #: Pseudo-counts of the corpus in a suffix, of the suffix in a host, and of declarations; most languages.
 SUFFIX_WEIGHT, HOST_WEIGHT, DECLARED_WEIGHT, LANGUAGES = 50.0, 20.0, 5.0, 64
@@ -34,16 +34,19 @@ def _trigrams(text: str) -> np.ndarray:
 
 
 def fit_models(docs: DataFrame, text: Column, declared: Column, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """(languages, log P(trigram | language)) from at most `sample_rows` rows with a declared language, the least by digest.
+    """(languages, log P(trigram | language)) from about `sample_rows` distinct texts of each language at most, the least by digest.
 
-    Languages are the most declared ones of the sample, at most LANGUAGES. The driver gets one count per language and bucket.
+    Languages are the most declared ones over all rows, at most LANGUAGES. The driver gets one count per language and bucket.
     """
     rows = docs.select(F.lower(declared.cast("string")).alias("l"), text.cast("string").alias("t")).filter("l is not null and l <> '' and t is not null")
-    total = rows.count()
     rows = rows.withColumn("h", F.xxhash64("t", F.lit(17)))
-    if total > 4 * sample_rows:  # digests are uniform: the least `sample_rows` lie below this bound
-        rows = rows.filter(F.col("h") < int(-(2**63) + 2**64 * (4 * sample_rows / total)))
-    rows = rows.orderBy("h", "l").limit(sample_rows)
+    sizes = rows.groupBy("l").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts"))
+    sizes = sizes.orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()
+    if not sizes:
+        return [], np.zeros((BUCKETS, 0))
+    # Digests are uniform: about `sample_rows` distinct texts of a language lie below its bound, and all of a language with fewer.
+    bound = F.create_map(*(F.lit(x) for r in sizes for x in (r["l"], int(-(2**63) + 2**64 * sample_rows / r["texts"]) if r["texts"] > sample_rows else 2**63 - 1)))
+    rows = rows.filter(F.col("h") <= F.element_at(bound, F.col("l"))).dropDuplicates(["l", "h"])
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -56,8 +59,7 @@ def fit_models(docs: DataFrame, text: Column, declared: Column, sample_rows: int
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["l", "k", "n"])
 
     got = rows.select("l", "t").mapInArrow(count, "l string, k long, n long").groupBy("l", "k").agg(F.sum("n").alias("n")).toPandas()
-    size = got.groupby("l")["n"].sum().sort_index() if len(got) else pd.Series(dtype="int64")
-    langs = sorted(size.sort_values(ascending=False, kind="stable").index[:LANGUAGES])
+    langs = sorted(r["l"] for r in sizes)
     counts = np.full((BUCKETS, len(langs)), 0.5)
     for j, lang in enumerate(langs):
         own = got[got["l"] == lang]
