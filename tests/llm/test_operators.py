@@ -383,3 +383,17 @@ def test_rare_languages_and_copies_in_the_models(spark):
     few = spark.createDataFrame(rows[-40:], "t string, l string")
     copies = spark.createDataFrame(rows[-40:] + [rows[-3]] * 500 + [rows[-1]] * 500, "t string, l string")
     assert (li.fit_models(few, F.col("t"), F.col("l"), 50)[1] == li.fit_models(copies, F.col("t"), F.col("l"), 50)[1]).all()
+
+
+def test_registered_query_identifies_pages_by_suffix(spark, tmp_path):
+    page = "<html{}><body><p>{}</p></body></html>"
+    rows = [(i, f"http://a{i}.de/", page.format(' lang="de"', f"die Worte der Zeile {i} und noch mehr davon")) for i in range(30)]
+    rows += [(100 + i, f"http://b{i}.fr/", page.format(' lang="fr"', f"les mots de la ligne {i} et encore plus")) for i in range(30)]
+    rows += [(200, "http://n.de/", page.format("", "xyz")), (201, "http://n.fr/", page.format("", "xyz"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = li.op8_language_id(spark, str(tmp_path)).collect()
+    lang = {r.page_id: r.lang for r in got if r.page_id is not None}
+    assert len(lang) == 62 and lang[200] == "de" and lang[201] == "fr"
+    assert Counter(r.doc_id for r in got if r.page_id is None) == Counter(r.doc_id for r in docs.collect())

@@ -159,13 +159,18 @@ def _of_documents(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     return identify(docs, F.col("text"), F.col("lang"), F.col("source"), F.lit(None).cast("string"), sample_rows)
 
 
-def identify_pages(pages: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def _of_pages(pages: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Pages (page_id, url, html): the declaration is the html element's lang, host and suffix come from the url."""
     host, suffix = _host_parts(F.col("url"))
     said = F.regexp_extract(F.col("html"), "(?i)<html[^>]*\\blang\\s*=\\s*[\"']?([A-Za-z]+)", 1)
     plain = F.regexp_replace(F.regexp_replace(F.col("html"), "(?is)<(script|style)\\b.*?</\\1\\s*>", " "), "<[^>]*>", " ")
-    d = pages.withColumn("__plain", plain)
-    out = identify(d, F.col("__plain"), F.when(said != "", said), host, suffix, sample_rows)
+    d = pages.withColumns({"__plain": plain, "__said": F.when(said != "", said)})
+    return identify(d, F.col("__plain"), F.col("__said"), host, suffix, sample_rows)
+
+
+def identify_pages(pages: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Per page: page_id, url, lang, confidence, accepted."""
+    out = _of_pages(pages, sample_rows)
     return out.select("page_id", "url", F.col("__lang").alias("lang"), F.col("__confidence").alias("confidence"), F.col("__accepted").alias("accepted"))
 
 
@@ -175,5 +180,8 @@ def keep_identified(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFram
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _of_documents(table(spark, sf_dir, "documents"))
-    return d.select("doc_id", F.col("lang").alias("declared"), F.col("__lang").alias("lang"), F.col("__text_lang").alias("text_lang"), F.col("__confidence").alias("confidence"), F.col("__accepted").alias("accepted"))
+    """All documents (page_id is null), then all pages (doc_id is null), each table with models, reliabilities and priors of its own."""
+    said = lambda d, doc, page, declared: d.select(F.expr(doc).alias("doc_id"), F.expr(page).alias("page_id"), F.col(declared).alias("declared"), F.col("__lang").alias("lang"), F.col("__text_lang").alias("text_lang"), F.col("__confidence").alias("confidence"), F.col("__accepted").alias("accepted"))
+    documents = said(_of_documents(table(spark, sf_dir, "documents")), "doc_id", "cast(null as bigint)", "lang")
+    pages = said(_of_pages(table(spark, sf_dir, "pages")), "cast(null as bigint)", "page_id", "__said")
+    return documents.union(pages)
