@@ -10,7 +10,7 @@ from tritlake.functions.grid import Grid
 from tritlake.operators import encode, extend, retrieve, score, train, vote
 from tritlake.plans import sql
 from tritlake.plans.index import Index
-from tritlake.plans.queries import QUERIES
+from tritlake.plans.queries import QUERIES, _sigs
 from tritlake.sources.images import VECTOR_GRID, read_idx, vectors_as_images
 
 SF = "/root/testdata/sf0.001"
@@ -150,3 +150,12 @@ def test_propagation_waves_and_no_anchor(spark):
     got = {(r.qid, r.pred, r.wave) for r in extend.propagate(t, p, 9, k=1, agree=1).collect()}
     assert got == {(1, 5, 0), (2, 5, 1), (3, 2, 1), (4, 2, 0)}
     assert {(r.qid, r.pred) for r in extend.propagate(t, p, 10).collect()} == {(1, 5), (2, 7), (3, 7), (4, 2)}
+
+
+def test_pair_gains_of_all_labels(spark):
+    got = {(r.a, r.b, r.pos): r.w for r in QUERIES["pair_info_gain_all"](spark, SF).collect()}
+    assert {(a, b) for a, b, _ in got} == {(a, b) for a in range(10) for b in range(a + 1, 10)}
+    # One pair on its own, with the background of all labels.
+    s = _sigs(spark, SF).filter("channel = 'px'")
+    own = train.gain(train.hot_map(s.filter("label in (4, 9)")), train.background(s)).collect()
+    assert own and {r.pos: r.w for r in own} == {pos: w for (a, b, pos), w in got.items() if (a, b) == (4, 9)}
