@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -52,21 +53,42 @@ def rows_of(df, *cols):
     return Counter(tuple(r) for r in df.select(*cols).collect())
 
 
-def test_suffix_arrays_by_induction():
+def test_suffix_arrays_by_induction(monkeypatch):
     rng = np.random.default_rng(0)
-    keep = si.BLOCK, si.MOST_QUEUES
-    try:
-        for _ in range(250):
-            si.BLOCK, si.MOST_QUEUES = int(rng.choice([2, 3, 7, 1 << 15])), int(rng.choice([1, 8, 1024]))
-            x = rng.integers(0, int(rng.integers(1, 5)), int(rng.integers(1, 60)))
-            x = np.tile(x[: max(1, len(x) // 4)], 4) if rng.random() < 0.3 else x
-            got = [np.concatenate(v).tolist() for v in zip(*si.induce(x.astype(np.uint8), 5, buffer=int(rng.choice([1, 5, 1000]))), strict=True)]
-            t = x.tolist()
-            sa = sorted(range(len(t)), key=lambda i: t[i:])
-            lcp = [0] + [next((k for k, (p, q) in enumerate(zip(t[a:], t[b:], strict=False)) if p != q), min(len(t) - a, len(t) - b)) for a, b in zip(sa, sa[1:], strict=False)]
-            assert got == [sa, lcp]
-    finally:
-        si.BLOCK, si.MOST_QUEUES = keep
+    for _ in range(400):
+        # Small bounds bring every way of the scans, the naming and the recursion into short strings.
+        bounds = {"BLOCK": [2, 3, 7, 1 << 15], "GROUP": [2, 9, 1 << 12], "BUFFER": [1, 5, 1 << 11], "LOOK": [1, 5, 1 << 12], "NAMED": [2, 5, 1 << 18], "MOST_GROUPS": [2, 1 << 11], "IN_MEMORY": [0, 3, 1 << 20]}
+        for name, values in bounds.items():
+            monkeypatch.setattr(si, name, int(rng.choice(values)))
+        x = rng.integers(0, int(rng.integers(1, 8)), int(rng.integers(1, 60)))
+        x = np.tile(x[: max(1, len(x) // 4)], 4) if rng.random() < 0.3 else x
+        got = [np.concatenate(v).tolist() for v in zip(*si.induce(x.astype(np.uint8), 9), strict=True)]
+        t = x.tolist()
+        sa = sorted(range(len(t)), key=lambda i: t[i:])
+        lcp = [0] + [next((k for k, (p, q) in enumerate(zip(t[a:], t[b:], strict=False)) if p != q), min(len(t) - a, len(t) - b)) for a, b in zip(sa, sa[1:], strict=False)]
+        assert got == [sa, lcp]
+
+
+def test_memory_does_not_follow_the_shard(monkeypatch):
+    """With small bounds, four times the text takes little more memory; all repeated stretches are found."""
+    for name, value in {"IN_MEMORY": 1 << 13, "NAMED": 1 << 13, "BLOCK": 1 << 13, "WALK": 1 << 14}.items():
+        monkeypatch.setattr(si, name, value)
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 8))) for _ in range(2000)]
+    peaks = []
+    for size in (1 << 17, 1 << 19):
+        tracemalloc.start()
+        shard, again, k = sx.Shard(), 0, 0
+        while shard.size < size:
+            if k % 9:
+                text = " ".join(rng.choices(words, k=80)).encode()[:336]
+            again += not k % 9
+            shard.add(k, 0, False, 0, len(text) - 199, text) if k else shard.add(0, 0, False, 0, 137, (text := b"x" + b"y" * 335))
+            k += 1
+        assert sum(1 for _ in shard.repeated(200)) >= 2 * again - 2 > 20
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0] and peaks[1] < 8 << 20
 
 
 def removed(texts, width):
@@ -94,6 +116,10 @@ def test_suffix_array_dedup_in_small_shards(spark, docs, texts):
     base = docs.select(F.col("doc_id").alias("__id"), F.coalesce("doc_id", F.lit(-1)).alias("i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
     key = lambda shard: sorted(set(map(tuple, sx.repeated_spans(base, shard=shard).collect())))
     assert key(1) == key(1 << 22)
+    # Strings of hot anchors are folded to digests: the same bytes are covered.
+    cover = lambda rows: {(i, h, p) for i, h, s, e in rows for p in range(s, e)}
+    for hot in (1, 3):
+        assert cover(map(tuple, sx.repeated_spans(base, hot=hot).collect())) == cover(key(1))
 
 
 def test_substring_dedup(docs, texts):

@@ -3,13 +3,15 @@
 Two equal strings of WIDTH bytes hold the same least GRAM-byte gram at the same place, so a string belongs to exactly one
 occurrence of such an anchor. Anchors are counted; only stretches around anchors that occur again can hold a repeat. Equal
 stretches are one row with a count. What is left are different stretches around equal anchors: they are dealt by anchor
-into shards, a shard's text goes to disk, and its suffix and common-prefix arrays, by external induced sorting, tell which
-of its strings occur twice.
+into shards, a shard's text goes to disk as it arrives, and its suffix and common-prefix arrays, by external induced sorting,
+tell which of its strings occur twice. An anchor is in one task, so one with very many stretches is not dealt: its strings
+are folded to digests before the shuffle and counted.
 """
 
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, id_and_text, table
-from .suffix_induction import induce, on_disk
+from .suffix_induction import DiskQueue, induce, on_disk
 
 WIDTH, GRAM = 200, 64
 #: Bytes of a text that are looked at together; a separator that no UTF-8 text holds.
 BLOCK, SEPARATOR = 1 << 20, 0xFF
-#: Bytes after which a shard ends at the next anchor. One anchor is never split, so its shard may be larger.
-SHARD = 1 << 22
+#: Bytes after which a shard ends at the next anchor; stretches from which on an anchor's strings are folded.
+SHARD, HOT = 1 << 22, 1 << 12
 
 
 def anchors(data: bytes, width: int = WIDTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -59,25 +61,35 @@ def anchors(data: bytes, width: int = WIDTH, gram: int = GRAM) -> Iterator[tuple
         yield h[place[starts]].view(np.int64), digest.view(np.int64), starts + at, n
 
 
-def repeated_starts(texts: list[bytes], counts: list[int], width: int) -> list[np.ndarray]:
-    """For each stretch whether each of its strings occurs again among the stretches. The joined text and its marks are on disk."""
-    size = sum(len(t) + 1 for t in texts)
-    x = on_disk(size, np.uint8)
-    at, begins = 0, []
-    for t in texts:
-        x[at : at + len(t)] = np.frombuffer(t, np.uint8)
-        x[at + len(t)] = SEPARATOR
-        begins.append(at)
-        at += len(t) + 1
-    mark = on_disk(size, np.bool_)
-    last = -1
-    for pos, lcp in induce(x, 256, most=width):
-        same = lcp >= width
-        if same.any():
-            mark[pos[same]] = True
-            mark[np.concatenate(([last], pos[:-1]))[same]] = True
-        last = int(pos[-1])
-    return [np.array(mark[b : b + n]) for b, n in zip(begins, counts, strict=True)]
+class Shard:
+    """Stretches whose text and rows are on disk; memory holds a block of either."""
+
+    def __init__(self) -> None:
+        self.file, self.size = tempfile.TemporaryFile(), 0
+        self.rows = DiskQueue(6)  # i, h, done, first string, number of strings, place of the text
+
+    def add(self, i: int, h: int, done: bool, s: int, n: int, text: bytes) -> None:
+        self.rows.push(*np.array([[i, h, done, s, n, self.size]]).T)
+        self.file.write(text)
+        self.file.write(bytes([SEPARATOR]))
+        self.size += len(text) + 1
+
+    def repeated(self, width: int) -> Iterator[tuple[int, int, int, int]]:
+        """(i, h, first byte, last byte + 1) of the strings that occur again, of the stretches that are not done."""
+        self.file.flush()
+        x = np.asarray(np.memmap(self.file, np.uint8, "r", shape=(self.size,)))
+        mark, last = on_disk(self.size, np.bool_), -1
+        for pos, lcp in induce(x, 256, most=width):
+            same = lcp >= width
+            if same.any():
+                mark[pos[same]] = True
+                mark[np.concatenate(([last], pos[:-1]))[same]] = True
+            last = int(pos[-1])
+        for block in self.rows.blocks():
+            for i, h, done, s, n, at in block.T.tolist():
+                if not done:
+                    for lo, hi in zip(*_runs(mark[at : at + n]), strict=True):
+                        yield i, h, s + int(lo), s + int(hi) + width - 1
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +112,7 @@ def remove_spans(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list
     return b"".join([*parts, data[at:]]), [(s, e) for s, e in runs]
 
 
-def repeated_spans(base: DataFrame, width: int = WIDTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
+def repeated_spans(base: DataFrame, width: int = WIDTH, gram: int = GRAM, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """(__id, i, h, text) -> (i, h, s, e): byte spans that repeated strings cover; i and h name a document."""
 
     names = ["i", "h", "a", "c", "s", "n", "m"]
@@ -138,57 +150,67 @@ def repeated_spans(base: DataFrame, width: int = WIDTH, gram: int = GRAM, shard:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols[:5]] + [pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.int32())], names=names)
 
     found = base.select("i", "h", "text").mapInArrow(find, "i long, h long, a long, c long, s long, n int, m int")
-    again = found.filter("m > 0").groupBy("a").agg(F.sum("m").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("k > 1").select(F.col("a").alias("a1"), (F.col("lo") != F.col("hi")).alias("mixed"))
+    again = found.filter("m > 0").groupBy("a").agg(F.sum("m").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("k > 1").select(F.col("a").alias("a1"), (F.col("lo") != F.col("hi")).alias("mixed"), (F.col("k") > hot).alias("hot"))
     kept = found.join(again, F.col("a") == F.col("a1"), "left").filter("m = 0 or mixed is not null")
     kept = cut_lineage(kept.withColumn("mixed", F.when(F.col("m") == 0, False).otherwise(F.col("mixed"))).drop("a1"))
-    stretches = kept.filter("mixed").groupBy("a", "c").agg(F.sum("m").alias("k"), F.min(F.struct("i", "h", "s", "n")).alias("r"))
+    stretches = kept.filter("mixed").groupBy("a", "c").agg(F.sum("m").alias("k"), F.min(F.struct("i", "h", "s", "n")).alias("r"), F.any_value("hot").alias("hot"))
     twice = stretches.filter("k > 1").select(F.col("a").alias("a1"), F.col("c").alias("c1"))
     covered = kept.filter("not mixed").select("i", "h", "s", "n").union(kept.filter("mixed").join(twice, (F.col("a") == F.col("a1")) & (F.col("c") == F.col("c1"))).select("i", "h", "s", "n"))
     covered = covered.select("i", "h", F.col("s"), (F.col("s") + F.col("n") + (width - 1)).alias("e"))
 
-    # The text of one occurrence of each other stretch, dealt by anchor.
-    wanted = stretches.select("a", "c", "k", "r.*").groupBy(F.col("i").alias("i1"), F.col("h").alias("h1")).agg(F.collect_list(F.struct("a", "k", "s", "n")).alias("want"))
+    # The text of one occurrence of each other stretch, dealt by anchor; of hot anchors the digests of its strings.
+    wanted = stretches.select("a", "c", "k", "hot", "r.*").groupBy(F.col("i").alias("i1"), F.col("h").alias("h1")).agg(F.collect_list(F.struct("a", "k", "s", "n", "hot")).alias("want"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["i", "h", "a", "done", "s", "n", "t", "d"], [pa.int64()] * 3 + [pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
         for b in batches:
             rows = []
-            for i, h, text, want in zip(*(b.column(j).to_pylist() for j in range(1, 5)), strict=True):
+            for k in range(b.num_rows):
+                i, h, text, want = (b.column(j)[k].as_py() for j in range(1, 5))
                 data = text.encode("utf-8", "surrogatepass")
-                rows += [(i, h, x["a"], x["k"] > 1, x["s"], x["n"], data[x["s"] : x["s"] + x["n"] + width - 1]) for x in want]
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.bool_(), pa.int64(), pa.int32(), pa.binary()], strict=True)], names=["i", "h", "a", "done", "s", "n", "t"])
+                for x in want:
+                    s, n = x["s"], x["n"]
+                    if x["hot"]:
+                        rows += [(i, h, x["a"], x["k"] > 1, p, 1, None, xxhash.xxh3_64_intdigest(data[p : p + width]) - (1 << 63)) for p in range(s, s + n)]
+                    else:
+                        rows.append((i, h, x["a"], x["k"] > 1, s, n, data[s : s + n + width - 1], None))
+                if len(rows) >= 1 << 14:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     # The same columns of the texts are dealt here and at the end, so that one shuffle of them serves both.
     texts = base.join(wanted, (F.col("i") == F.col("i1")) & (F.col("h") == F.col("h1"))).select("__id", "i", "h", "text", "want")
-    fetched = texts.mapInArrow(fetch, "i long, h long, a long, done boolean, s long, n int, t binary")
-    shards = fetched.repartition("a").sortWithinPartitions("a")
+    fetched = cut_lineage(texts.mapInArrow(fetch, "i long, h long, a long, done boolean, s long, n int, t binary, d long"))
+    strings = fetched.filter("d is not null")
+    more = strings.groupBy(F.col("a").alias("a1"), F.col("d").alias("d1")).agg(F.count("*").alias("k")).filter("k > 1")
+    folded = strings.join(more, (F.col("a") == F.col("a1")) & (F.col("d") == F.col("d1"))).filter("not done").select("i", "h", "s", (F.col("s") + width).alias("e"))
+    shards = fetched.filter("t is not null").select("i", "h", "a", "done", "s", "n", "t").repartition("a").sortWithinPartitions("a")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def judged(own: list[tuple]) -> pa.RecordBatch:
-            # Rows that repeat a document's id and text bring the same stretch again; it counts once.
-            own = list({(r[0], r[1], r[4]): r for r in own}.values())
-            marks = repeated_starts([r[6] for r in own], [r[5] for r in own], width)
-            out = []
-            for (i, h, _, done, s, _, _), flags in zip(own, marks, strict=True):
-                if not done:
-                    for lo, hi in zip(*_runs(flags), strict=True):
-                        out.append((i, h, s + int(lo), s + int(hi) + width - 1))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["i", "h", "s", "e"])
-
-        own: list[tuple] = []
-        size = 0
+        def judged(own: Shard) -> Iterator[pa.RecordBatch]:
+            rows: list[tuple] = []
+            for row in own.repeated(width):
+                rows.append(row)
+                if len(rows) >= 1 << 14:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["i", "h", "s", "e"])
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["i", "h", "s", "e"])
+
+        own, last = Shard(), None
         for b in batches:
-            for row in zip(*(b.column(j).to_pylist() for j in range(7)), strict=True):
-                if size >= shard and own[-1][2] != row[2]:
-                    yield judged(own)
-                    own, size = [], 0
-                own.append(row)
-                size += len(row[6])
-        if own:
-            yield judged(own)
-
-    return covered.union(shards.mapInArrow(sort, "i long, h long, s long, e long"))
+            for i, h, a, done, s, n, t in zip(*(b.column(j).to_pylist() for j in range(7)), strict=True):
+                if own.size >= shard and a != last:
+                    yield from judged(own)
+                    own = Shard()
+                own.add(i, h, done, s, n, t)
+                last = a
+        if own.size:
+            yield from judged(own)
+
+    return covered.union(folded).union(shards.mapInArrow(sort, "i long, h long, s long, e long"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
