@@ -1,8 +1,10 @@
-"""Substring dedup by line and sentence hashing.
+"""Substring dedup by line hashing.
 
-Units are the lines of a text, for op1 of any length, and the sentences of each line. A unit's digest is that of its normalised words. Digests are
-counted over the whole corpus with map-side combination; of each repeated unit the occurrence of least rank (document id,
-text digest, offset) stays and every other one is removed, with its offsets in the original text kept.
+A unit is the least run of whole lines, from each line of a text on, that holds enough text; a long line is a unit by itself.
+So a short line is judged together with the lines behind it: a passage that repeats goes whatever the length of its lines,
+while a heading or a greeting that many texts share stays in its place. A unit's digest is that of its normalised words.
+Digests are counted over the whole corpus with map-side combination; of each repeated unit the occurrence of least rank
+(document id, text digest, offset) stays and every other one is removed, with its offsets in the original text kept.
 """
 
 from __future__ import annotations
@@ -19,13 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, id_and_text, table
 
-#: Units of fewer words stay, unless every line is asked for.
-LEAST_WORDS = 6
-#: With every line, sentences within a line stay if their words, a space between each two, have fewer code points ("Dr.", "No."). Six words have as many at least.
-LEAST_CHARS = 11
+#: UTF-8 bytes of normalised words, a space between each two, that a unit holds at least: some 20 to 25 words of Latin script
+#: or 40 Chinese signs, as words are not counted. A text with fewer is one unit.
+LEAST_BYTES = 120
 
 _LINE = re.compile(r"[^\n]+")
-_STOP = re.compile(r"[.!?]+\s+")
 _WORDS = re.compile(r"\w+")
 # Vowel signs and tones of Indic scripts and Thai are marks, which are not in \w; short lines that differ in them are not equal.
 _MARKS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
@@ -41,34 +41,28 @@ def _finder(text: str) -> re.Pattern[str]:
     return _WORDS
 
 
-def units_of(text: str, least_words: int = LEAST_WORDS, every_line: bool = False) -> list[tuple[int, int, int]]:
-    """(start, end, digest) in code points of each line and each sentence with enough words, in order; a unit once.
-
-    With `every_line` a line needs one word and a sentence LEAST_CHARS, which are not counted in words parted by spaces. Lines come without the white space at their ends. A sentence with the same words as its line is not a unit of its own.
-    """
+def lines_of(text: str) -> list[tuple[int, int, bytes]]:
+    """(start, end, normalised words) in code points of each line with a word, without the white space at its ends."""
     out, finder = [], _finder(text)
     for line in _LINE.finditer(text):
-        at = first = line.start() + len(line[0]) - len(line[0].lstrip())
-        end = at + len(line[0].strip())
-        whole = None
-        spans = [(at, end)]
-        for m in _STOP.finditer(text, at, end):
-            spans.append((at, m.start() + len(m[0].rstrip())))
-            at = m.end()
-        if at > first:
-            spans.append((at, end))
-        for s, e in spans:
-            is_line = whole is None
-            if e - s < (LEAST_CHARS if every_line else 2 * least_words - 1) and not (every_line and is_line):
-                continue
-            words = finder.findall(text[s:e].lower())
-            if words == whole:
-                continue
-            if is_line:
-                whole = words
-            joined = " ".join(words)
-            if (joined and (is_line or len(joined) >= LEAST_CHARS)) if every_line else len(words) >= least_words:
-                out.append((s, e, xxhash.xxh3_64_intdigest(joined.encode("utf-8", "surrogatepass")) - (1 << 63)))
+        words = " ".join(finder.findall(line[0].lower()))
+        if words:
+            at = line.start() + len(line[0]) - len(line[0].lstrip())
+            out.append((at, at + len(line[0].strip()), words.encode("utf-8", "surrogatepass")))
+    return out
+
+
+def units_of(text: str, least_bytes: int = LEAST_BYTES) -> list[tuple[int, int, int]]:
+    """(start, end, digest) in code points: from each line on the least run of lines with enough text; of a shorter text all lines."""
+    lines, out, stop, size = lines_of(text), [], 0, 0
+    for first, (start, _, words) in enumerate(lines):
+        while stop < len(lines) and (size < least_bytes or stop <= first):
+            size += len(lines[stop][2])
+            stop += 1
+        if size < least_bytes and first:
+            break
+        out.append((start, lines[stop - 1][1], xxhash.xxh3_64_intdigest(b"\n".join(w for _, _, w in lines[first:stop])) - (1 << 63)))
+        size -= len(words)
     return out
 
 
@@ -87,11 +81,13 @@ def cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, i
     return "".join([*parts, text[at:]]), [(s, e) for s, e in runs]
 
 
-def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, every_line: bool = False) -> DataFrame:
-    """Per row: id, text (what is left), n_removed (units), removed_spans ("start:end" in code points, merged).
+def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """Per row: id, text (what is left), n_removed (lines), removed_spans ("start:end" in code points, merged).
 
-    Null and empty texts have no units and give the empty text. Rows that repeat id and text have equal rank: the units
-    that they hold first stay in each of them. A null id ranks before all others. Extra columns are ignored.
+    With `least_bytes` of 1 every line with a word is a unit by itself. Null and empty texts have no units and give the empty
+    text, an empty table no rows; very long texts are split like any other, in memory of their size. Rows that repeat id and
+    text have equal rank: the units that they hold first stay in each of them. A null id ranks before all others. Extra
+    columns are ignored.
     """
     base = id_and_text(docs, id_col, text_col).select("__id", F.coalesce("__id", F.lit(-(2**63))).alias("i"), F.xxhash64("__text").alias("h"), "__text")
 
@@ -100,12 +96,12 @@ def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for k in range(0, b.num_rows, 256):
                 rows = []
                 for i, h, t in zip(*(b.column(j).slice(k, 256).to_pylist() for j in range(3)), strict=True):
-                    rows += [(i, h, s, e, d) for s, e, d in units_of(t, least_words, every_line)]
+                    rows += [(i, h, s, e, d) for s, e, d in units_of(t, least_bytes)]
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["i", "h", "s", "e", "d"])
 
-    units = base.select("i", "h", "__text").mapInArrow(split, "i long, h long, s long, e long, d long")
-    # Of equal ranks the start decides; a line and its first sentence differ in their end.
+    # Read twice, made once.
+    units = cut_lineage(base.select("i", "h", "__text").mapInArrow(split, "i long, h long, s long, e long, d long"))
     rank = F.struct("i", "h", "s", "e")
     firsts = units.groupBy("d").agg(F.count("*").alias("n"), F.min(rank).alias("first")).filter("n > 1").select(F.col("d").alias("d1"), "first")
     gone = units.join(firsts, F.col("d") == F.col("d1")).filter(rank != F.col("first"))
@@ -115,10 +111,11 @@ def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             left, gone, said = [], [], []
-            for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                rest, runs = cut(t, [(x["s"], x["e"]) for x in spans or ()])
+            for k in range(b.num_rows):
+                text = b.column(1)[k].as_py()
+                rest, runs = cut(text, [(x["s"], x["e"]) for x in b.column(2)[k].as_py() or ()])
                 left.append(rest)
-                gone.append(len(spans or ()))
+                gone.append(sum(len(lines_of(text[s:e])) for s, e in runs))
                 said.append(",".join(f"{s}:{e}" for s, e in runs))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(left, pa.string()), pa.array(gone, pa.int64()), pa.array(said, pa.string())], names=["__id", "text", "n_removed", "removed_spans"])
 
@@ -126,4 +123,5 @@ def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_units(table(spark, sf_dir, "documents"), every_line=True)
+    """All documents: what is left of each text, the lines removed and their places."""
+    return drop_repeated_units(table(spark, sf_dir, "documents"))
