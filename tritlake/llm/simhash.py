@@ -6,6 +6,9 @@ Under a key the fingerprints are sorted by Gray rank and a tree is built over th
 below share (mask) and their values (pattern). A search walks the levels for all fingerprints at once and prunes a whole
 node when the differences in its shared bits exceed the limit; a node whose bits vary within the limit is taken whole.
 Each key gives only a spanning forest of its links; components come from alternating star contractions over edges.
+
+A pattern under which very many fingerprints meet is not searched by one task: they are dealt again by patterns of finer
+blocks of all bits, of which two that differ in at most four bits must share several too.
 """
 
 from __future__ import annotations
@@ -19,11 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, id_and_text, per_text, table
+from .common import cut_lineage, id_and_text, per_text, spread_join, table
 
 WORDS, LIMIT, SEED = 4, 4, 42
-#: Blocks of bits and how many of them a key holds. With b blocks and LIMIT differences, b - LIMIT blocks agree.
-BLOCKS = 6
+#: Blocks of bits at the first dealing and at those of patterns with more than GROUP fingerprints. With b blocks and LIMIT differences, b - LIMIT blocks agree.
+BLOCKS, GROUP = (6, 7, 8, 9), 1 << 20
 #: Children of an index node; rows of a search at a time.
 FAN, SEARCH = 8, 1 << 14
 
@@ -142,66 +145,89 @@ def _join(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
         np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
 
 
-def _masks(limit: int) -> list[int]:
-    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-    blocks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(c) for c in combinations(blocks, BLOCKS - limit)]
+def _masks(limit: int, blocks: int) -> list[int]:
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    parts = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(c) for c in combinations(parts, blocks - limit)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def near_links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Distinct fingerprints (column fp) -> edges (u, v) of a graph with the same components as all links of `limit` bits."""
-    keys = F.explode(F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(_masks(limit)))))
-    dealt = fps.select("fp", keys.alias("k")).select("fp", "k.t", "k.key")
+def near_links(fps: DataFrame, limit: int = LIMIT, group: int = GROUP) -> DataFrame:
+    """Distinct fingerprints (column fp) -> edges (u, v) of a graph with the same components as all links of `limit` bits.
+
+    A task holds at most `group` fingerprints of a pattern. Beyond, it gives them back, and they are dealt by finer patterns
+    within the ones they share; at the finest any number is searched.
+    """
     n = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.repartition(n, "t", "key").sortWithinPartitions("t", "key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def emit(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            fp, t, key = (np.concatenate(x) for x in zip(*parts, strict=True))
-            group = np.cumsum(np.concatenate(([0], (t[1:] != t[:-1]) | (key[1:] != key[:-1]))))
-            many = np.bincount(group)[group] > 1
-            fp, group = fp[many].view(np.uint64), group[many]
-            order = np.lexsort((gray_rank(fp), group))
-            fp, group = fp[order], group[order]
-            u, v = links(fp, group, limit) if len(fp) else (np.zeros(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(fp[u].view(np.int64)), pa.array(fp[v].view(np.int64))], names=["u", "v"])
-
-        size = 0
-        for batch in batches:
-            part = tuple(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-            if not len(part[0]):
-                continue
-            if size > 1 << 18:  # hand over up to the last change of key
-                change = np.flatnonzero((part[1][1:] != part[1][:-1]) | (part[2][1:] != part[2][:-1]))
-                if part[1][0] != held[-1][1][-1] or part[2][0] != held[-1][2][-1]:
-                    yield emit(held)
-                    held, size = [], 0
-                elif len(change):
-                    c = change[-1] + 1
-                    yield emit([*held, tuple(x[:c] for x in part)])
-                    held, size, part = [], 0, tuple(x[c:] for x in part)
-            held.append(part)
-            size += len(part[0])
-        if held:
-            yield emit(held)
-
-    return dealt.mapInArrow(run, "u long, v long").distinct()
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    left, edges = fps.select("fp", F.lit(0).cast("long").alias("within")), None
+    for round_, blocks in enumerate(BLOCKS):
+        most = group if round_ + 1 < len(BLOCKS) else 1 << 62
+        keys = F.explode(F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(_masks(limit, blocks)))))
+        dealt = left.select("fp", "within", keys.alias("k")).select("fp", F.xxhash64("within", "k.t", "k.key").alias("key"))
+        found = dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda b, most=most: _searched(b, limit, most), "u long, v long, within long")
+        if round_ + 1 < len(BLOCKS):
+            found = cut_lineage(found)
+        own = found.filter("v is not null").select("u", "v")
+        edges = own if edges is None else edges.union(own)
+        left = found.filter("v is null").select(F.col("u").alias("fp"), "within")
+        if round_ + 1 < len(BLOCKS) and left.isEmpty():
+            break
+    return edges.distinct()
+
+
+def _searched(batches: Iterator[pa.RecordBatch], limit: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (fp, key) in order of the key -> edges (u, v, null), and (fp, null, key) of keys with over `most` rows."""
+
+    def emit(fp: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+        many = np.bincount(group)[group] > 1
+        fp, group = fp[many].view(np.uint64), group[many]
+        order = np.lexsort((gray_rank(fp), group))
+        fp, group = fp[order], group[order]
+        u, v = links(fp, group, limit) if len(fp) else (np.zeros(0, np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(fp[u].view(np.int64)), pa.array(fp[v].view(np.int64)), pa.nulls(len(u), pa.int64())], names=["u", "v", "within"])
+
+    def back(fp: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(fp), pa.nulls(len(fp), pa.int64()), pa.array(key)], names=["u", "v", "within"])
+
+    held_fp, held_key = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        held_fp = np.concatenate((held_fp, batch.column(0).to_numpy(zero_copy_only=False)))
+        held_key = np.concatenate((held_key, batch.column(1).to_numpy(zero_copy_only=False)))
+        if len(held_fp) <= min(most, 1 << 18):
+            continue
+        # Hand over up to the last change of key; of an open key with too many rows give back what is there.
+        last = int(np.searchsorted(held_key, held_key[-1]))
+        if last:
+            yield emit(held_fp[:last], held_key[:last])
+            held_fp, held_key = held_fp[last:], held_key[last:]
+        if len(held_fp) > most:
+            yield back(held_fp, held_key)
+            gone = held_key[-1]
+            held_fp, held_key = held_fp[:0], held_key[:0]
+            for batch in batches:  # the rest of that key
+                fp, key = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+                same = int(np.searchsorted(key, gone, "right"))
+                if same:
+                    yield back(fp[:same], key[:same])
+                if same < len(key):
+                    held_fp, held_key = fp[same:].copy(), key[same:].copy()
+                    break
+    if len(held_fp):
+        yield emit(held_fp, held_key)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Edges (u, v) of longs -> (node, root) for every node that has an edge; root is the component's smallest node.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014), each checkpointed, until the edges stay the same.
     """
     e = cut_lineage(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     last = None
-    for _ in range(most_rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         big = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -212,8 +238,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == last:
             break
         last = now
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())
 
 
@@ -222,23 +246,27 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Null and empty texts have fingerprint zero and are linked like any other. Texts with fewer than four words count as one
     shingle. Equal fingerprints are one node of the graph, so exact copies add no edges; repeated rows give repeated rows. A
-    null id never is a component's id unless all its ids are null. Extra columns are ignored.
+    null id never is a component's id unless all its ids are null. Extra columns are ignored, and an empty table gives no
+    rows. Very long texts are hashed in parts.
     """
     schema = pa.schema([("__id", pa.int64()), ("fp", pa.int64())])
     rows = cut_lineage(per_text(id_and_text(docs, id_col, text_col), "__id", lambda: lambda t: (fingerprint(t),), schema, "__id long, fp long"))
-    nodes = cut_lineage(rows.groupBy("fp").agg(F.min("__id").alias("least")))
+    nodes = cut_lineage(rows.groupBy("fp").agg(F.min("__id").alias("least"), F.count("*").alias("n")))
     roots = components(near_links(nodes.select("fp"), limit))
-    labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = labelled.join(least, "root").select("fp", "component_id")
-    out = rows.join(named, "fp")
+    labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    labelled = cut_lineage(labelled)
+    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    # A component may hold a third of the fingerprints, and a fingerprint a third of the rows.
+    named = spread_join(labelled.select("fp", "root"), "root", least.select("root", "component_id"), least.select("root", "n"))
+    out = spread_join(rows, "fp", named.select("fp", "component_id"), nodes.select("fp", "n"))
     return out.select(F.col("__id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows and columns of `docs` with one document of each component: the one with the smallest id.
 
-    Rows with a null id stay. Of rows that repeat the kept id all stay. Components of only null ids stay whole.
+    Null and empty texts are near-duplicates of each other. Rows with a null id stay. Other columns stay whatever their names;
+    an empty table stays empty. Of rows that repeat the kept id all stay. Components of only null ids stay whole.
     """
     found = find_near_duplicates(docs, id_col, text_col).filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(found, docs[id_col] == found["__gone"], "left_anti")
