@@ -1,9 +1,11 @@
 """HTML extraction by nearest-URL page differencing.
 
-A page is cut into text lines, one per block element, in page order. Pages are sorted by host and URL path; each is paired
-with the neighbour whose path shares the longest prefix (with both if they share as much). The pages' lines are aligned by longest common subsequence,
-and shared lines are template and are deleted. Markup decides where it speaks: lines of elements made for menus, notices,
-forms and the like go as well, and lines inside a marked article are the article and stay, shared or not.
+A page is cut into text lines, one per block element, in page order. Pages are put in order of host and URL path; each is
+compared with the pages before and after it on its host. Of the two, the one whose path shares the longer prefix is the
+nearest (both if they share as much). Lines are aligned by longest common subsequence; lines that a page shares with a nearest
+one are template and are deleted. Markup gives hints: elements made for menus, notices, forms and the like never hold text; in
+a marked article only such lines go as stand at its ends and are shared with both neighbours; and a page that has no neighbour
+to be compared with is cut to its article.
 """
 
 from __future__ import annotations
@@ -12,41 +14,55 @@ import html as _html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, table
+from .common import table
 
 # Element names of the format and words of class, id and role attributes.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title iframe noscript template xmp noembed noframes".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _DROPPED = frozenset("head nav footer aside form button select option dialog menu svg canvas object audio video map input fieldset".split())
-_DROPPED_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement sponsor sponsored promo promotion cookie cookies consent gdpr notice notification alert banner popup modal overlay newsletter subscribe "
-    "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist replies reply respond disqus share sharing social related recommended widget login signin signup search pagination pager "
-    "complementary contentinfo".split()
+# A class, id or role is a hint if it is such a word, or if all its parts are such words or name a place or a box.
+_HINTS_ANYWHERE = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe sidebar nav navbar navigation breadcrumb breadcrumbs "
+    "comment comments commentlist replies reply respond disqus share sharing social related recommended pagination pager complementary contentinfo".split()
 )
+_HINTS_OUTSIDE = _HINTS_ANYWHERE | frozenset("notice notices notification alert banner popup modal overlay menu footer header search login signin signup widget".split())
+_PLACES = frozenset("site page main top bottom left right inner outer list area box wrap wrapper container section block bar item items thread body form link links post posts reader user holder slot unit panel row col group content 1 2 3 4".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-_WORD = re.compile(r"[a-z0-9]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+#: Blocks of running text, which stay outside a marked article too if no neighbour shares them.
+_PROSE = frozenset("p h1 h2 h3 blockquote pre".split())
+ARTICLE, MAIN, OTHER = 2, 1, 0
 
 
-def lines_of(page: str) -> list[tuple[str, int]]:
-    """Text lines of a page in order, each with the number of the article it is in (0: none, -1: the main element)."""
-    out: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # name, dropped, article
+def hinted(value: str, hints: frozenset[str]) -> bool:
+    """Whether one of the words of an attribute is a hint, as a whole or by all its parts."""
+    for word in value.strip("\"'").split():
+        parts = [p.lower() for p in _PART.findall(word)]
+        if word.lower() in hints or (any(p in hints for p in parts) and all(p in _HINTS_OUTSIDE or p in _PLACES for p in parts)):
+            return True
+    return False
+
+
+def lines_of(page: str) -> list[tuple[str, int, str]]:
+    """Text lines of a page in order, each with where it is (ARTICLE, MAIN or OTHER) and the name of its block."""
+    out: list[tuple[str, int, str]] = []
+    stack: list[tuple[str, bool, int]] = []  # name, dropped, where
     text: list[str] = []
-    articles = 0
 
     def flush() -> None:
         if text:
             line = " ".join(_html.unescape("".join(text)).split())
             text.clear()
             if line:
-                out.append((line, stack[-1][2] if stack else 0))
+                out.append((line, stack[-1][2], stack[-1][0]) if stack else (line, OTHER, ""))
 
     at, end = 0, len(page)
     while at < end:
@@ -66,7 +82,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             text.append(" ")
             continue
         flush()
-        dropped, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        dropped, where = (stack[-1][1], stack[-1][2]) if stack else (False, OTHER)
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -84,46 +100,75 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         elif stack and stack[-1][0] == "p":
             stack.pop()
         if m[3] and not dropped and name not in ("html", "body"):
-            words: set[str] = set()
             for a in _ATTR.finditer(m[3]):
-                if a[1].lower() == "hidden":
+                if a[1].lower() == "hidden" or (a[1].lower() != "itemprop" and hinted(a[2] or "", _HINTS_ANYWHERE if where == ARTICLE or name in ("article", "main") else _HINTS_OUTSIDE)):
                     dropped = True
-                else:
-                    words.update(_WORD.findall((a[2] or "").lower()))
-            dropped |= bool(words & _DROPPED_WORDS)
-            if name not in ("article", "main") and not article and "header" in words:
-                dropped = True
-        if name in _DROPPED or (name == "header" and article <= 0):
+        if name in _DROPPED or (name == "header" and where != ARTICLE):
             dropped = True
-        if not dropped:
-            if name == "article" and article <= 0:
-                articles += 1
-                article = articles
-            elif name == "main" and not article:
-                article = -1
-        stack.append((name, dropped, article))
+        if name == "article":
+            where = ARTICLE
+        elif name == "main" and where == OTHER:
+            where = MAIN
+        stack.append((name, dropped, where))
     flush()
     return out
 
 
-def chosen(lines: list[tuple[str, int]], shared: set[int]) -> str:
-    """The article's lines if one is marked (the one with most text), else the lines that no neighbour shares."""
-    size: dict[int, int] = {}
-    for line, a in lines:
-        size[a] = size.get(a, 0) + len(line)
-    own = [a for a in size if a > 0]
-    if own:
-        best = max(own, key=lambda a: (size[a], -a))
-        kept = [line for line, a in lines if a == best]
-    elif -1 in size:
-        kept = [line for k, (line, a) in enumerate(lines) if a == -1 and k not in shared] or [line for line, a in lines if a == -1]
-    else:
-        kept = [line for k, (line, _) in enumerate(lines) if k not in shared] or [line for line, _ in lines]
-    return "\n\n".join(kept)
+def digests_of(lines: list[tuple[str, int, str]]) -> list[int]:
+    return [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x, _, _ in lines]
+
+
+def chosen(lines: list[tuple[str, int, str]], before: set[int] | None, after: set[int] | None, nearest: tuple[bool, bool]) -> str:
+    """The text. `before` and `after` are the places of lines shared with the neighbours, None if there is none; `nearest` says which count as nearest."""
+    compared = before is not None or after is not None
+    shared = set().union(*(s for s, near in zip((before, after), nearest, strict=True) if s and near))
+    inside = [k for k, line in enumerate(lines) if line[1] == ARTICLE]
+    marked = bool(inside) or any(where == MAIN for _, where, _ in lines)
+    ends: set[int] = set()
+    if before and after and inside:
+        size = sum(len(lines[k][0]) for k in inside)
+        # A neighbour that holds half of the article is a copy of it and says nothing of template.
+        if all(2 * sum(len(lines[k][0]) for k in inside if k in s) < size for s in (before, after)):
+            for way in (inside, inside[::-1]):
+                for k in way:
+                    if lines[k][2] == "h1":
+                        continue
+                    if k not in before or k not in after:
+                        break
+                    ends.add(k)
+
+    def stays(k: int) -> bool:
+        _, where, block = lines[k]
+        if where == ARTICLE:
+            return k not in ends
+        if where == MAIN or not marked:
+            return k not in shared
+        return compared and k not in shared and block in _PROSE
+
+    kept = [k for k in range(len(lines)) if stays(k)]
+    if not kept or (marked and not any(lines[k][1] != OTHER for k in kept)):  # nothing of the marked part is its own
+        kept = inside or [k for k, line in enumerate(lines) if line[1] == MAIN] or list(range(len(lines)))
+    return "\n\n".join(lines[k][0] for k in kept)
+
+
+def _prefix_lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of a and each prefix of b, from bit vectors: one addition for each element of a."""
+    places: dict[int, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    every = row = (1 << len(b)) - 1
+    for x in a:
+        hit = row & places.get(x, 0)
+        row = ((row + hit) | (row - hit)) & every
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
 
 
 def common_lines(a: list[int], b: list[int]) -> set[int]:
-    """Places in `a` of a longest common subsequence with `b`. Common ends are matched first; the rest is quadratic."""
+    """Places in `a` of a longest common subsequence with `b`, in memory proportional to both (Hirschberg's halving).
+
+    Common ends are matched first. Of equally long ones the earliest split of `b` is taken at each halving.
+    """
     lo, m, n = 0, len(a), len(b)
     while lo < m and lo < n and a[lo] == b[lo]:
         lo += 1
@@ -132,23 +177,20 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
         m, n = m - 1, n - 1
         out.add(m)
     both = set(a[lo:m]) & set(b[lo:n])
-    xs = [k for k in range(lo, m) if a[k] in both]
-    ys = [k for k in range(lo, n) if b[k] in both]
-    best = [[0] * (len(ys) + 1)]
-    for i in xs:
-        row, above = [0], best[-1]
-        for j, y in enumerate(ys):
-            row.append(above[j] + 1 if a[i] == b[y] else max(above[j + 1], row[j]))
-        best.append(row)
-    i, j = len(xs), len(ys)
-    while i and j:
-        if a[xs[i - 1]] == b[ys[j - 1]] and best[i][j] == best[i - 1][j - 1] + 1:
-            out.add(xs[i - 1])
-            i, j = i - 1, j - 1
-        elif best[i - 1][j] >= best[i][j - 1]:
-            i -= 1
-        else:
-            j -= 1
+    todo = [([k for k in range(lo, m) if a[k] in both], [y for y in b[lo:n] if y in both])] if both else []
+    while todo:
+        xs, ys = todo.pop()
+        if not xs or not ys:
+            continue
+        if len(xs) == 1:
+            if a[xs[0]] in ys:
+                out.add(xs[0])
+            continue
+        half = len(xs) // 2
+        left = _prefix_lengths([a[k] for k in xs[:half]], ys)
+        right = _prefix_lengths([a[k] for k in reversed(xs[half:])], ys[::-1])[::-1]
+        cut = int(np.argmax(left + right))
+        todo += [(xs[:half], ys[:cut]), (xs[half:], ys[cut:])]
     return out
 
 
@@ -157,102 +199,135 @@ def _address(url: Column) -> tuple[Column, Column]:
     return F.lower(F.regexp_extract(rest, "^([^/?#]*)", 1)), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
-def _neighbours(pages: DataFrame) -> DataFrame:
-    """(key, host, path) -> (key, other): for each page the neighbour in (host, path, key) order of the longer shared path, both if equal.
+_PLACE = ("host", "path", "key", "salt")
 
-    Rows are dealt by ranges, so a hot host is spread; the rows at the ends of ranges, two for each range, meet on the driver.
-    """
-    spark = pages.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = pages.repartitionByRange(n, "host", "path", "key").sortWithinPartitions("host", "path", "key").withColumn("part", F.spark_partition_id())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "host", "path", "part", "before_key", "before_path", "after_key", "after_path", "edge"]
-        types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
-        last, now = None, None
+def _blocks(base: DataFrame) -> tuple[list[tuple], dict[int, tuple]]:
+    """(first row of each block but the first, {block: (page before it, page after it)}), each page as (path, line digests).
 
-        def row(prev, cur, nxt, edge):
-            p = prev if prev and prev[1] == cur[1] else (None, None, None)
-            q = nxt if nxt and nxt[1] == cur[1] else (None, None, None)
-            return (*cur, p[0], p[2], q[0], q[2], edge)
+    Blocks are ranges of the order of the pages. The driver gets four addresses for each, and the lines of its two neighbours.
+    """
+    spark = base.sparkSession
+    n = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    light = base.select(*_PLACE).repartitionByRange(n, *_PLACE).sortWithinPartitions(*_PLACE)
+    names = [f"{c}{k}" for k in range(4) for c in _PLACE]
 
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = second = last = previous = None  # the first two pages and the last two
         for b in batches:
-            rows = []
-            for nxt in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if now is not None:
-                    rows.append(row(last, now, nxt, last is None))
-                last, now = now, nxt
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-        if now is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row(last, now, None, True), types, strict=True)], names=names)
-
-    ddl = "key long, host string, path string, part int, before_key long, before_path string, after_key long, after_path string, edge boolean"
-    near = cut_lineage(ranged.select("key", "host", "path", "part").mapInArrow(run, ddl))
-    ends = sorted(near.filter("edge").collect(), key=lambda r: (r["part"], r["host"], r["path"], r["key"]))
-    fixed = []
-    for k, r in enumerate(ends):
-        r = r.asDict()
-        for side, other in (("before", ends[k - 1] if k else None), ("after", ends[k + 1] if k + 1 < len(ends) else None)):
-            if r[f"{side}_key"] is None and other is not None and other["part"] != r["part"] and other["host"] == r["host"]:
-                r |= {f"{side}_key": other["key"], f"{side}_path": other["path"]}
-        fixed.append(tuple(r[c] for c in ("key", "host", "path", "part", "before_key", "before_path", "after_key", "after_path", "edge")))
-    whole = near.filter("not edge").union(spark.createDataFrame(fixed, near.schema)) if fixed else near
-    shared = lambda p: F.when(F.col(p).isNull(), -1).otherwise(F.length(F.regexp_extract(F.concat_ws("\u0001", "path", p), "^([^\u0001]*)[^\u0001]*\u0001\\1", 1)))
-    b, a = shared("before_path"), shared("after_path")
-    near_ = F.explode(F.array(F.when(b >= a, F.col("before_key")), F.when(a >= b, F.col("after_key")))).alias("other")
-    return whole.select("key", near_).filter("other is not null")
+            for row in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                first = first or row
+                if second is None and row[:3] != first[:3]:
+                    second = row
+                if last is None or row[:3] != last[:3]:
+                    last, previous = row, last
+        if first:
+            cells = [v for row in (first, second, last, previous) for v in (row or (None,) * 4)]
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.string() if k % 4 < 2 else pa.int64()) for k, v in enumerate(cells)], names=names)
+
+    found = light.mapInArrow(ends, ", ".join(f"{c}{k} {'string' if c in ('host', 'path') else 'long'}" for k in range(4) for c in _PLACE)).collect()
+    rows = sorted(tuple(tuple(r[k : k + 4]) for k in range(0, 16, 4)) for r in (tuple(x) for x in found))
+    near: dict[int, list] = {}
+    for k, (first, _, last, _) in enumerate(rows):
+        before = next((p for r in reversed(rows[:k]) for p in (r[2], r[3]) if p[0] is not None and p[:3] != first[:3]), None)
+        after = next((p for r in rows[k + 1 :] for p in (r[0], r[1]) if p[0] is not None and p[:3] != last[:3]), None)
+        near[k] = [before[:3] if before and before[0] == first[0] else None, after[:3] if after and after[0] == last[0] else None]
+    wanted = {p for pair in near.values() for p in pair if p}
+    lines: dict[tuple, list[int]] = {}
+    if wanted:
+        some = F.broadcast(spark.createDataFrame(sorted(wanted), "host string, path string, key long"))  # two for each block
+
+        def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done = set()
+            for b in batches:
+                for k in range(b.num_rows):
+                    page = tuple(b.column(j)[k].as_py() for j in range(3))
+                    if page not in done:
+                        done.add(page)
+                        own = digests_of(lines_of(b.column(3)[k].as_py()))
+                        yield pa.RecordBatch.from_arrays([*(b.column(j).slice(k, 1) for j in range(3)), pa.array([own], pa.list_(pa.int64()))], names=["host", "path", "key", "lines"])
+
+        got = base.select("host", "path", "key", "html").join(some, ["host", "path", "key"], "left_semi").mapInArrow(outline, "host string, path string, key long, lines array<long>")
+        lines = {(r["host"], r["path"], r["key"]): r["lines"] for r in got.groupBy("host", "path", "key").agg(F.first("lines").alias("lines")).collect()}
+    return [r[0] for r in rows[1:]], {k: tuple((p[1], lines[p]) if p else None for p in pair) for k, pair in near.items()}
+
+
+def _alike(a: str, b: str) -> int:
+    """Length of the shared prefix of two paths."""
+    n = min(len(a), len(b))
+    return next((k for k in range(n) if a[k] != b[k]), n)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: id, url, text (blocks joined by two line breaks, empty if none), n_chars.
 
-    Null and empty html give the empty text. A null url is a host of its own. Pages of the same id, url and html are one
-    page when pairing, so exact repeats do not delete each other; a page without a neighbour keeps all unmarked lines, and
-    so does one whose every line is shared. Extra columns are ignored.
+    Null and empty html give the empty text, an empty table no rows. Rows without a url are on one host. Rows of the same url
+    and html are one page when pairing, so exact repeats do not delete each other, and get equal texts. A page that would lose
+    all of its marked part, or all lines if none is marked, keeps them. Every article of a page stays, in page order. Extra
+    columns are ignored. A page is parsed once, in a task that has the pages beside it; very long pages are aligned in memory
+    proportional to their lines. Pages are dealt by ranges of (host, path, page, row), so neither a hot host nor a page that is
+    repeated very often lands in one task.
     """
     host, path = _address(F.col(f"`{url_col}`"))
     base = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"), host.alias("host"), path.alias("path"))
-    base = base.withColumn("key", F.xxhash64("url", "html"))
-
-    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [lines_of(t.as_py()) for t in b.column(2)]
-            hashes = [[xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x, _ in f] for f in found]
-            unmarked = [not any(a > 0 for _, a in f) for f in found]
-            yield pa.RecordBatch.from_arrays([b.column(5), b.column(3), b.column(4), pa.array(unmarked, pa.bool_()), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "host", "path", "unmarked", "hashes"])
-
-    # Digests of lines are kept; the texts, which only pages without a marked article need to wait for, are read again.
-    light = cut_lineage(base.mapInArrow(outline, "key long, host string, path string, unmarked boolean, hashes array<long>"))
-    keyed = light.groupBy("key").agg(F.min("host").alias("host"), F.min("path").alias("path"), F.max("unmarked").alias("unmarked"), F.first("hashes").alias("hashes"))
-    pairs = _neighbours(keyed.select("key", "host", "path"))
-    wanted = pairs.join(keyed.filter("unmarked").select("key"), "key", "left_semi")
-    wanted = wanted.join(keyed.select(F.col("key").alias("other"), F.col("hashes").alias("theirs")), "other").groupBy(F.col("key").alias("k2")).agg(F.collect_list("theirs").alias("theirs"))  # two at most
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [lines_of(t.as_py()) for t in b.column(2)]
-            own = [chosen(f, set()) if any(a > 0 for _, a in f) else None for f in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(5), pa.array(own, pa.string()), pa.array([t.as_py() if o is None else None for t, o in zip(b.column(2), own, strict=True)], pa.string())], names=["id", "url", "key", "text", "html"])
+    base = base.withColumn("key", F.xxhash64("url", "html")).withColumn("salt", F.xxhash64("id"))
+    starts, near = _blocks(base)
+    if not near:
+        return base.select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars"))
+    block = F.lit(0)
+    if starts:  # how many starts are not greater than the row: binary search in a constant array
+        kinds = dict(zip(_PLACE, ("string", "string", "long", "long"), strict=True))
+        table_ = F.array(*(F.struct(*(F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(_PLACE, s, strict=True))) for s in starts))
+        steps = F.array(*(F.lit(1 << k) for k in range(len(starts).bit_length() - 1, -1, -1)))
+        own = F.struct(*_PLACE)
+        block = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(starts)) & (F.get(table_, at + step - 1) <= own), at + step).otherwise(at))
+    n = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = base.withColumn("block", block.cast("int")).repartition(n, "block").sortWithinPartitions("block", *_PLACE)
 
-    read = base.mapInArrow(texts, "id long, url string, key long, text string, html string")
-    marked = read.filter("text is not null").select("id", "url", "text", F.length("text").cast("long").alias("n_chars"))
-    # Pages without a marked article: few or many, they are joined with their neighbours' lines by unique keys.
-    open_ = read.filter("text is null").join(wanted, F.col("key") == F.col("k2"), "left").select("id", "url", "html", "theirs")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        page: tuple | None = None  # block, host, path, key
+        lines, own, rows, before = [], [], [], None
+
+        def done(after: tuple[str, list[int]] | None) -> None:
+            sides = [(common_lines(own, s[1]), _alike(page[2], s[0])) if s else (None, -1) for s in (before, after)]
+            most = max(s[1] for s in sides)
+            text = chosen(lines, sides[0][0], sides[1][0], (sides[0][1] == most, sides[1][1] == most))
+            out.extend((i, u, text, len(text)) for i, u in rows)
+
+        def batch() -> pa.RecordBatch:
+            cols = zip(*out, strict=True)
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["id", "url", "text", "n_chars"])
+            out.clear()
+            return made
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, urls, htmls, theirs = (b.column(i).to_pylist() for i in range(4))
-            out = []
-            for page, other in zip(htmls, theirs, strict=True):
-                lines = lines_of(page)
-                mine = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x, _ in lines]
-                out.append(chosen(lines, set().union(*(common_lines(mine, o) for o in other or ()))))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["id", "url", "text", "n_chars"])
-
-    done = marked.union(open_.mapInArrow(finish, "id long, url string, text string, n_chars long"))
+            for k in range(b.num_rows):
+                now = tuple(b.column(j)[k].as_py() for j in range(4))
+                if now != page:
+                    new = lines_of(b.column(6)[k].as_py())
+                    digests = digests_of(new)
+                    if page is None or now[0] != page[0]:
+                        if page is not None:
+                            done(near[page[0]][1])
+                        before = near[now[0]][0]
+                    else:
+                        together = now[1] == page[1]
+                        done((now[2], digests) if together else None)
+                        before = (page[2], own) if together else None
+                    page, lines, own, rows = now, new, digests, []
+                    if len(out) >= 256:
+                        yield batch()
+                rows.append((b.column(4)[k].as_py(), b.column(5)[k].as_py()))
+        if page is not None:
+            done(near[page[0]][1])
+        if out:
+            yield batch()
+
+    done = dealt.select("block", "host", "path", "key", "id", "url", "html").mapInArrow(run, "id long, url string, text string, n_chars long")
     return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, with the contract's columns."""
     return extract_pages(table(spark, sf_dir, "pages"))
