@@ -1,7 +1,8 @@
 """Benchmark decontamination with a generalised suffix automaton of the benchmark's normalised words.
 
-The automaton of a block of items is built on the driver and broadcast; a block holds at most BLOCK_WORDS words, and a
-larger benchmark is taken block by block over the same documents. Documents are streamed: words map to the automaton's
+The automaton of a block of items is built on the driver and broadcast; a block holds at most BLOCK_WORDS words. With a
+larger benchmark each block passes over the documents by itself and gives the hits of the texts that it hits, which are then
+merged, so that no task holds more than one block. Documents are streamed: words map to the automaton's
 alphabet, stretches whose neighbouring words follow each other in no item are skipped, and elsewhere the automaton
 tracks the longest match that ends at each word. Where it reaches a window's length, the window is hit.
 """
@@ -10,11 +11,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import id_and_text, table
 
@@ -168,27 +171,43 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, window: int, b
 
 
 def _with_hits(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_words: int) -> DataFrame:
-    """Adds __starts, __ends (runs of hit words) and __items to rows that have __text; a narrow pass for each block."""
-    df = docs.withColumns({"__starts": F.array().cast("array<int>"), "__ends": F.array().cast("array<int>"), "__items": F.array().cast("array<string>")})
-    for index in blocks_of(benchmark, item_col, item_text_col, window, block_words):
-        shared = df.sparkSession.sparkContext.broadcast(index)
+    """Adds __starts, __ends (runs of hit words) and __items to rows that have __text."""
+    sc = docs.sparkSession.sparkContext
+    blocks = [sc.broadcast(index) for index in blocks_of(benchmark, item_col, item_text_col, window, block_words)]
+
+    def hits_of(df: DataFrame, block, all_rows: bool) -> DataFrame:
+        """A narrow pass: `df` with its hits, or only the rows that have any."""
         k = df.columns.index("__text")
+        names = [*df.columns, "__starts", "__ends", "__items"]
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = block.value
             for batch in batches:
-                starts, ends, items = (batch.column(i).to_pylist() for i in (-3, -2, -1))
-                texts = batch.column(k)
-                for i in range(batch.num_rows):
-                    spans, found = index.hits(words_of(texts[i].as_py()))
-                    if spans:
-                        spans = merged([*zip(starts[i], ends[i], strict=True), *spans])
-                        starts[i], ends[i] = [s for s, _ in spans], [e for _, e in spans]
-                        items[i] = sorted({*items[i], *(x for x in found if x is not None)})
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
+                found = [index.hits(words_of(batch.column(k)[i].as_py())) for i in range(batch.num_rows)]
+                starts, ends = ([[x[side] for x in spans] for spans, _ in found] for side in (0, 1))
+                items = [sorted(x for x in own if x is not None) for _, own in found]
+                out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=names)
+                yield out if all_rows else out.filter(pa.array([bool(s) for s in starts], pa.bool_()))
+
+        more = T.StructType([*df.schema.fields, *(T.StructField(n, T.ArrayType(t)) for n, t in (("__starts", T.IntegerType()), ("__ends", T.IntegerType()), ("__items", T.StringType())))])
+        return df.mapInArrow(run, more)
+
+    if len(blocks) == 1:
+        return hits_of(docs, blocks[0], True)
+    keyed = docs.withColumn("__key", F.md5("__text"))
+    passes = [hits_of(keyed.select("__key", "__text"), b, False).select("__key", "__starts", "__ends", "__items") for b in blocks]
+    # Equal texts have equal hits: one row for each text and block.
+    one = reduce(DataFrame.union, (p.groupBy("__key").agg(F.first(F.struct("__starts", "__ends", "__items")).alias("x")) for p in passes))
+    all_ = one.groupBy(F.col("__key").alias("__k1")).agg(F.flatten(F.collect_list(F.arrays_zip("x.__starts", "x.__ends"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("x.__items")))).alias("__items"))
+
+    @F.pandas_udf("array<struct<s:int,e:int>>")
+    def joined(spans):
+        return type(spans)([[{"s": s, "e": e} for s, e in merged([(x["__starts"], x["__ends"]) for x in own])] for own in spans], dtype=object)
 
-        df = df.mapInArrow(run, df.schema)
-    return df
+    all_ = all_.select("__k1", joined("spans").alias("r"), "__items")
+    found = keyed.join(all_, F.col("__key") == F.col("__k1"), "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
+    return found.select(*docs.columns, none(F.col("r.s"), "int").alias("__starts"), none(F.col("r.e"), "int").alias("__ends"), none(F.col("__items"), "string").alias("__items"))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -196,7 +215,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     Null and empty texts have no words. Items without words have no windows; items with equal texts all count; a null item
     id counts for hits but is not listed. Repeated rows give repeated rows; extra columns on either side are ignored.
-    An empty benchmark hits nothing. No shuffle: a hot item or passage costs each document only its own words.
+    An empty benchmark hits nothing; an empty table gives no rows; very long texts are read word by word like others. Without
+    more than one block there is no shuffle: a hot item or passage costs each document only its own words.
     """
     df = _with_hits(id_and_text(docs, id_col, text_col), benchmark, item_col, item_text_col, window, block_words)
 
@@ -227,7 +247,8 @@ def cut_words(text: str, runs: list[tuple[int, int]]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_run: int = MAX_RUN, max_share: float = MAX_SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows and columns of `docs` without contamination: a document with a run of `max_run` hit words or with `max_share`
-    of its words hit goes; other hit runs are cut out of its text. Documents without a hit, null texts among them, stay as they are.
+    of its words hit goes; other hit runs are cut out of its text. Documents without a hit, null and empty texts among them, stay as they are; so do rows that repeat
+    each other, and other columns whatever their names. An empty table stays empty.
     """
     names = docs.columns
     plain = docs.select(*(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
