@@ -2,8 +2,12 @@
 
 Four kinds of evidence are added as log odds: the text's likelihood under hashed byte-trigram models, the declared
 language through the measured reliability of declarations, the address suffix, and a prior of the host that is smoothed
-towards its suffix, which is smoothed towards the whole corpus. The languages are counted over all rows; the models are fitted
-on a bounded sample of distinct texts of each; the reliabilities and the priors are counts over all rows.
+towards its suffix, which is smoothed towards the whole corpus. The languages are all that are declared, counted over all rows;
+the models are fitted on a bounded sample of distinct texts of each; the reliabilities and the priors are counts over all rows.
+
+A text's declaration takes part in fitting, so texts are parted in two halves by a digest and each is judged by the models of
+the other half: the reliability of declarations is measured on texts that the models have not seen. Only a language without a
+text in the other half is judged by all of its texts.
 """
 
 from __future__ import annotations
@@ -18,8 +22,8 @@ from .common import cut_lineage, table
 
 #: About the most distinct texts of a language that its model is fitted on; hashed trigrams; weight of a trigram's log likelihood.
 SAMPLE_ROWS, BUCKETS, TEMPER = 2_000, 1 << 15, 0.05
-#: Pseudo-counts of the corpus in a suffix, of the suffix in a host, and of declarations; most languages.
-SUFFIX_WEIGHT, HOST_WEIGHT, DECLARED_WEIGHT, LANGUAGES = 50.0, 20.0, 5.0, 64
+#: Pseudo-counts of the corpus in a suffix, of the suffix in a host, and of declarations.
+SUFFIX_WEIGHT, HOST_WEIGHT, DECLARED_WEIGHT = 50.0, 20.0, 5.0
 #: A document is accepted from this posterior on.
 ACCEPT = 0.8
 #: No key of the join with the priors holds much more than one in so many of all rows: larger hosts are spread over several keys.
@@ -33,38 +37,65 @@ def _trigrams(text: str) -> np.ndarray:
     return ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)) >> np.uint32(32 - (BUCKETS.bit_length() - 1))
 
 
-def fit_models(docs: DataFrame, text: Column, declared: Column, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """(languages, log P(trigram | language)) from about `sample_rows` distinct texts of each language at most, the least by digest.
+def _language(declared: Column) -> Column:
+    """The declared language without its region (de-AT, pt_BR), in lower case; null if there is none."""
+    name = F.lower(F.trim(F.split(declared.cast("string"), "[-_]", 2)[0]))
+    return F.when(name != "", name)
+
+
+def _half(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text.cast("string"), F.lit(17)), F.lit(2)).cast("int")
 
-    Languages are the most declared ones over all rows, at most LANGUAGES. The driver gets one count per language and bucket.
+
+def fit_counts(docs: DataFrame, text: Column, declared: Column, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
+    """(languages, counts[half, trigram, language]) from about `sample_rows` distinct texts of each language at most, the least by digest.
+
+    All languages that are declared of a text are there. The driver gets one count per language, half and bucket.
     """
-    rows = docs.select(F.lower(declared.cast("string")).alias("l"), text.cast("string").alias("t")).filter("l is not null and l <> '' and t is not null")
+    rows = docs.select(_language(declared).alias("l"), text.cast("string").alias("t")).filter("l is not null and t is not null")
     rows = rows.withColumn("h", F.xxhash64("t", F.lit(17)))
-    sizes = rows.groupBy("l").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts"))
-    sizes = sizes.orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("l").agg(F.approx_count_distinct("h").alias("texts")).collect()
     if not sizes:
-        return [], np.zeros((BUCKETS, 0))
+        return [], np.zeros((2, BUCKETS, 0))
     # Digests are uniform: about `sample_rows` distinct texts of a language lie below its bound, and all of a language with fewer.
-    bound = F.create_map(*(F.lit(x) for r in sizes for x in (r["l"], int(-(2**63) + 2**64 * sample_rows / r["texts"]) if r["texts"] > sample_rows else 2**63 - 1)))
-    rows = rows.filter(F.col("h") <= F.element_at(bound, F.col("l"))).dropDuplicates(["l", "h"])
+    bounds = [(r["l"], int(-(2**63) + 2**64 * sample_rows / r["texts"])) for r in sizes if r["texts"] > sample_rows]
+    if bounds:
+        bound = F.create_map(*(F.lit(x) for pair in bounds for x in pair))
+        rows = rows.filter(F.coalesce(F.col("h") <= F.try_element_at(bound, F.col("l")), F.lit(True)))
+    rows = rows.dropDuplicates(["l", "h"])
 
     def count(batches):
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[tuple[str, int], np.ndarray] = {}
         for b in batches:
-            for lang, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                sums[lang] += np.bincount(_trigrams(t.as_py()), minlength=BUCKETS)
-        for lang, n in sums.items():
+            for lang, half, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                own = sums.setdefault((lang, half), np.zeros(BUCKETS, np.int32))
+                own += np.bincount(_trigrams(t.as_py()), minlength=BUCKETS)
+        for (lang, half), n in sums.items():
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["l", "k", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([half] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["l", "half", "k", "n"])
 
-    got = rows.select("l", "t").mapInArrow(count, "l string, k long, n long").groupBy("l", "k").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.select("l", _half(F.col("t")).alias("half"), "t").mapInArrow(count, "l string, half int, k long, n long").groupBy("l", "half", "k").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(r["l"] for r in sizes)
-    counts = np.full((BUCKETS, len(langs)), 0.5)
-    for j, lang in enumerate(langs):
-        own = got[got["l"] == lang]
-        counts[own["k"].to_numpy(), j] += own["n"].to_numpy()
-    return langs, np.log(counts / counts.sum(axis=0, keepdims=True))
+    counts = np.zeros((2, BUCKETS, len(langs)))
+    place = {lang: j for j, lang in enumerate(langs)}
+    counts[got["half"].to_numpy(int), got["k"].to_numpy(int), got["l"].map(place).to_numpy(int)] = got["n"].to_numpy()
+    return langs, counts
+
+
+def _log_shares(counts: np.ndarray) -> np.ndarray:
+    return np.log((counts + 0.5) / (counts + 0.5).sum(axis=0, keepdims=True))
+
+
+def fit_models(docs: DataFrame, text: Column, declared: Column, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
+    """(languages, log P(trigram | language)) of both halves of the texts."""
+    langs, counts = fit_counts(docs, text, declared, sample_rows)
+    return langs, _log_shares(counts.sum(axis=0))
+
+
+def judging_models(counts: np.ndarray) -> np.ndarray:
+    """log P(trigram | language) by which the texts of each half are judged: of the other half, or of both where it has none."""
+    both = counts.sum(axis=0)
+    return np.stack([_log_shares(np.where(counts[1 - half].sum(axis=0, keepdims=True) > 0, counts[1 - half], both)) for half in (0, 1)])
 
 
 def _host_parts(url: Column) -> tuple[Column, Column]:
@@ -76,52 +107,56 @@ def identify(docs: DataFrame, text: Column, declared: Column, host: Column, suff
     """The rows of `docs` with four columns more: {prefix}lang, {prefix}confidence, {prefix}text_lang, {prefix}accepted.
 
     Null, empty or very short texts and texts without a letter have no text evidence: they are not accepted. A null
-    declaration, host or suffix adds nothing. Without any declared row there is no language: lang is null, nothing is
-    accepted. Ties go to the language first by code point. Repeated rows get equal answers. The host table is joined by
+    declaration, host or suffix adds nothing. Without any declared row, as in an empty table, there is no language: lang is
+    null, nothing is accepted. Very long texts are summed in parts. Models take 256 KB for each declared language. Ties go to the language first by code point. Repeated rows get equal answers. The host table is joined by
     size: broadcast only when Spark's own threshold allows it.
     """
-    langs, logp = fit_models(docs, text, declared, sample_rows)
-    n = len(langs)
+    langs, counts = fit_counts(docs, text, declared, sample_rows)
+    n, spark = len(langs), docs.sparkSession
     if not n:
         return docs.withColumns({f"{prefix}lang": F.lit(None).cast("string"), f"{prefix}confidence": F.lit(0.0), f"{prefix}text_lang": F.lit(None).cast("string"), f"{prefix}accepted": F.lit(False)})
-    shared = docs.sparkSession.sparkContext.broadcast(logp.astype(np.float32))
+    shared = spark.sparkContext.broadcast(judging_models(counts).astype(np.float32))
 
     @F.pandas_udf("array<double>")
-    def likelihood(texts: pd.Series) -> pd.Series:
-        model, out = shared.value, []
-        for t in texts:
-            ll = np.zeros(model.shape[1])
+    def likelihood(texts: pd.Series, halves: pd.Series) -> pd.Series:
+        models, out = shared.value, []
+        for t, half in zip(texts, halves, strict=True):
+            ll = np.zeros(models.shape[2])
             if t:
                 k = _trigrams(t)
                 for i in range(0, len(k), 1 << 16):
-                    ll += model[k[i : i + (1 << 16)]].sum(axis=0, dtype=np.float64)
+                    ll += models[half][k[i : i + (1 << 16)]].sum(axis=0, dtype=np.float64)
             out.append((ll - ll.max()).round(6) * TEMPER)
         return pd.Series(out)
 
     has_text = F.coalesce(text.rlike("\\p{L}") & (F.length(text) >= 3), F.lit(False))
-    d = docs.withColumns({"__ll": likelihood(text), "__has": has_text, "__decl": F.when(F.lower(declared).isin(langs), F.lower(declared)), "__host": host, "__suffix": suffix})
+    known = F.array(*(F.lit(x) for x in langs))
+    said = F.array_position(known, _language(declared))
+    d = docs.withColumns({"__ll": likelihood(text, F.coalesce(_half(text), F.lit(0))), "__has": has_text, "__decl": F.when(said > 0, said.cast("int")), "__host": host, "__suffix": suffix})
     best = F.when(F.col("__has"), F.array_position(F.col("__ll"), F.array_max("__ll")).cast("int"))
-    # Counts over all rows: one pass, grouped by everything that the priors and reliabilities need.
-    counted = d.select(best.alias("best"), "__decl", "__host", "__suffix")
-    by_lang = [F.coalesce(F.sum((F.col("best") == k + 1).cast("long")), F.lit(0)).cast("double") for k in range(n)]
-    every_cell = cut_lineage(counted.groupBy("__host", "__suffix", "__decl").agg(F.array(*by_lang).alias("c"), F.count("best").alias("seen"), F.count("*").alias("rows")))
-    cells = every_cell.filter("seen > 0")
-    summed = [F.sum(F.col("c")[k]) for k in range(n)]
-    small = cells.groupBy("__decl").agg(F.array(*summed).alias("c")).collect()
-    total = np.sum([r["c"] for r in small], axis=0) if small else np.zeros(n)
+    # Counts over all rows: one pass, grouped by everything that the priors and reliabilities need; languages by number, from 1.
+    cells = cut_lineage(d.select(best.alias("best"), "__decl", "__host", "__suffix").groupBy("__host", "__suffix", "__decl", "best").agg(F.count("*").alias("rows")))
+    seen = cells.filter("best is not null")
+    given = np.zeros((n + 1, n))
+    for r in seen.groupBy("__decl", "best").agg(F.sum("rows").alias("rows")).collect():
+        given[r["__decl"] or 0, r["best"] - 1] = r["rows"]
+    total = given.sum(axis=0)
     overall = (total + 1) / (total.sum() + n)
-    given = {r["__decl"]: np.array(r["c"]) for r in small if r["__decl"] is not None}
     # log P(declared | language), smoothed towards the declaration's share
-    share = {k: v.sum() for k, v in given.items()}
-    every = sum(share.values()) or 1.0
-    says = {k: np.log((v + DECLARED_WEIGHT * share[k] / every) / (sum(given.values()) + DECLARED_WEIGHT)) for k, v in given.items()}
+    by_declared = given[1:]
+    share = by_declared.sum(axis=1, keepdims=True) / max(1.0, by_declared.sum())
+    says = np.log((by_declared + DECLARED_WEIGHT * share + 1e-12) / (by_declared.sum(axis=0, keepdims=True) + DECLARED_WEIGHT))
     arr = lambda v: F.array(*(F.lit(float(x)) for x in v))
-    declared_ll = F.lit(None)
-    for k, v in says.items():
-        declared_ll = F.when(F.col("__decl") == k, arr(v)).otherwise(declared_ll)
-    declared_ll = F.coalesce(declared_ll, arr([0.0] * n)) if says else arr([0.0] * n)
-    hosts = cells.groupBy("__suffix", "__host").agg(F.array(*summed).alias("hc"))
-    suffixes = hosts.groupBy("__suffix").agg(F.array(*(F.sum(F.col("hc")[k]) for k in range(n))).alias("sc"))
+    # One row for each declared language that was seen; another declaration says nothing.
+    rows = [(k + 1, [float(x) for x in says[k]]) for k in range(n) if by_declared[k].sum()]
+    d = d.join(F.broadcast(spark.createDataFrame(rows, "__d1 int, __says array<double>")), F.col("__decl") == F.col("__d1"), "left")
+    declared_ll = F.coalesce("__says", arr([0.0] * n))
+
+    def dense(counted: DataFrame, keys: list[str], name: str) -> DataFrame:
+        g = counted.groupBy(*keys, "best").agg(F.sum("rows").cast("double").alias("rows")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("best", "rows"))).alias("m"))
+        return g.select(*keys, F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias(name))
+
+    hosts, suffixes = dense(seen, ["__suffix", "__host"], "hc"), dense(seen, ["__suffix"], "sc")
     up = lambda own, above, weight: F.zip_with(own, above, lambda c, p: (c + p * F.lit(weight)) / (F.aggregate(own, F.lit(0.0), lambda a, x: a + x) + F.lit(weight)))
     suffixes = suffixes.select(F.col("__suffix").alias("__s2"), F.when(F.col("__suffix").isNull(), arr(overall)).otherwise(up(F.col("sc"), arr(overall), SUFFIX_WEIGHT)).alias("__sp"))
     priors = hosts.join(suffixes, F.col("__suffix").eqNullSafe(F.col("__s2")))
@@ -129,8 +164,8 @@ def identify(docs: DataFrame, text: Column, declared: Column, host: Column, suff
     key = lambda h, s: F.concat_ws("\u0001", F.coalesce(h, F.lit("\u0002")), F.coalesce(s, F.lit("\u0002")))
     # A host may hold a third of all rows. Those with over 1/SPREAD of them, so at most SPREAD hosts, are broadcast with the
     # number of keys that their rows are spread over; only their priors are repeated.
-    all_rows = every_cell.agg(F.sum("rows")).first()[0] or 0
-    hot = every_cell.groupBy(key(F.col("__host"), F.col("__suffix")).alias("__hot")).agg(F.sum("rows").alias("rows")).filter(F.col("rows") * SPREAD > all_rows)
+    all_rows = cells.agg(F.sum("rows")).first()[0] or 0
+    hot = cells.groupBy(key(F.col("__host"), F.col("__suffix")).alias("__hot")).agg(F.sum("rows").alias("rows")).filter(F.col("rows") * SPREAD > all_rows)
     hot = F.broadcast(hot.select("__hot", F.ceil(F.col("rows") * SPREAD / F.lit(max(all_rows, 1))).cast("int").alias("__keys")))
     keys = F.coalesce(F.col("__keys"), F.lit(1))
     priors = priors.select(key(F.col("__h1"), F.col("__s1")).alias("__k1"), "__prior").join(hot, F.col("__k1") == F.col("__hot"), "left")
@@ -144,11 +179,10 @@ def identify(docs: DataFrame, text: Column, declared: Column, host: Column, suff
     d = d.withColumn("__score", score)
     top = F.array_max("__score")
     conf = F.lit(1.0) / F.aggregate("__score", F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    names = F.array(*(F.lit(x) for x in langs))
     d = d.withColumns({
-        f"{prefix}lang": F.element_at(names, F.array_position(F.col("__score"), top).cast("int")),
+        f"{prefix}lang": F.element_at(known, F.array_position(F.col("__score"), top).cast("int")),
         f"{prefix}confidence": F.round(conf, 6),
-        f"{prefix}text_lang": F.when(F.col("__has"), F.element_at(names, F.array_position(F.col("__ll"), F.array_max("__ll")).cast("int"))),
+        f"{prefix}text_lang": F.when(F.col("__has"), F.element_at(known, F.array_position(F.col("__ll"), F.array_max("__ll")).cast("int"))),
     }).withColumn(f"{prefix}accepted", F.col("__has") & (F.col(f"{prefix}confidence") >= ACCEPT))
     extra = [f"{prefix}{x}" for x in ("lang", "confidence", "text_lang", "accepted")]
     return d.select(*(F.col(f"`{c}`") for c in docs.columns), *extra)
