@@ -19,6 +19,8 @@ WEIGHTS, SHARE, MOST_EPOCHS = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Slices of the key within a source.
 SLICES = 4096
 SEED = "mix-1"
+#: Characters that lower a document's quality.
+SIGNS = "0123456789!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
 
 
 def word_count(text: Column) -> Column:
@@ -27,10 +29,13 @@ def word_count(text: Column) -> Column:
 
 
 def quality(text: Column) -> Column:
-    """A weight from 0.25 to 1.25: the share of lower-case ASCII letters and spaces, plus a quarter."""
+    """A weight from 0.25 to 1.25: the share of characters that are no digits or ASCII signs, plus a quarter.
+
+    Letters of all scripts count alike.
+    """
     n = F.length(text)
-    rest = F.length(F.translate(text, "abcdefghijklmnopqrstuvwxyz ", ""))
-    return F.when(n > 0, F.lit(0.25) + (n - rest) / n).otherwise(F.lit(0.25))
+    good = F.length(F.translate(text, SIGNS, ""))
+    return F.when(n > 0, F.lit(0.25) + good / n).otherwise(F.lit(0.25))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
@@ -53,18 +58,27 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return d.select("source", "source_size", F.when(F.col("__at").isNull(), F.col("__cap")).otherwise(F.least(F.col("__at") * F.col("__w"), F.col("__cap"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, slices: int = SLICES) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, slices: int = SLICES, keep: bool = False) -> DataFrame:
     """Per row: id, size (words), source, source_size, target, taken (words the mix takes, repeats counted).
 
-    Null and empty texts have size 0 and are taken as 0; a null source is a source of its own, last in order. Equal keys
+    With `keep` all columns of `docs` come first, as they are, and then __size, __target and __taken, so that rows which
+    repeat each other each have their own share. Null and empty texts have size 0 and are taken as 0; a null source is a source of its own, last in order. Equal keys
     (repeated ids) are ordered by size; rows equal in both are interchangeable. Documents are taken whole, but for the one at
     the edge of a source's budget, of which the words up to the budget are taken: a source's sum is its rounded target.
+    An empty table gives no rows; other columns are ignored; a very long text is one document.
     """
-    d = id_and_text(docs, id_col, text_col, source_col)
+    own = [f"__c{i}" for i in range(len(docs.columns))] if keep else []
+    if keep:
+        names = docs.columns
+        docs = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)))
+        id_col, text_col, source_col = (own[names.index(c)] for c in (id_col, text_col, source_col))
+    d = id_and_text(docs, id_col, text_col, source_col, *(c for c in own if c != source_col))
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("__id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     key = -F.log(u) / quality(F.col("__text"))
-    d = d.select("__id", word_count(F.col("__text")).alias("size"), F.col(f"`{source_col}`").cast("string").alias("source"), key.alias("__key"))
-    d = cut_lineage(d.withColumn("__slice", F.floor((1 - F.exp(-F.col("__key"))) * slices).cast("int")))
+    d = d.select("__id", word_count(F.col("__text")).alias("size"), F.col(f"`{source_col}`").cast("string").alias("source"), key.alias("__key"), *own, *([F.xxhash64("__text").alias("__digest")] if keep else []))
+    d = d.withColumn("__slice", F.floor((1 - F.exp(-F.col("__key"))) * slices).cast("int"))
+    if not keep:  # whole documents are too much to write once more
+        d = cut_lineage(d)
     per_slice = cut_lineage(d.groupBy("source", "__slice").agg(F.sum("size").alias("__n")))
     targets = source_targets(per_slice.groupBy("source").agg(F.sum("__n").alias("source_size")), weights, share, most)
     # One row per source and slice: the words of the slices before.
@@ -73,14 +87,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plan = edges.alias("e").join(targets.alias("t"), F.col("e.source").eqNullSafe(F.col("t.source"))).select(
         F.coalesce(F.col("e.source"), F.lit("")).alias("__s"), F.col("e.source").isNull().alias("__sn"), F.col("e.__slice").alias("__b"), "__before", "source_size", "target"
     )
-    within = W.partitionBy("__s", "__sn", "__slice").orderBy("__key", "__id", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("__s", "__sn", "__slice").orderBy("__key", "__id", "size", *(["__digest"] if keep else [])).rowsBetween(W.unboundedPreceding, -1)
     d = d.withColumns({"__s": F.coalesce("source", F.lit("")), "__sn": F.col("source").isNull()})
     d = d.withColumn("__in", F.coalesce(F.sum("size").over(within), F.lit(0)))
     d = d.join(plan, (d["__s"] == plan["__s"]) & (d["__sn"] == plan["__sn"]) & (d["__slice"] == plan["__b"]))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.floor(F.col("target") + 0.5) - epochs * F.col("source_size")
     more = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("__before") - F.col("__in")))
-    return d.select(F.col("__id").alias(id_col), "size", "source", "source_size", "target", (epochs * F.col("size") + more).cast("long").alias("taken"))
+    taken = (epochs * F.col("size") + more).cast("long")
+    if keep:
+        return d.select(*(F.col(o).alias(c) for c, o in zip(names, own, strict=True)), F.col("size").alias("__size"), F.col("target").alias("__target"), taken.alias("__taken"))
+    return d.select(F.col("__id").alias(id_col), "size", "source", "source_size", "target", taken.alias("taken"))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +112,7 @@ WITH d AS (
   FROM documents
 ), k AS (
   SELECT doc_id, source, size,
-         -ln(u) / CASE WHEN length(text) > 0 THEN 0.25 + CAST(length(text) - length(translate(text, 'abcdefghijklmnopqrstuvwxyz ', '')) AS DOUBLE) / length(text) ELSE 0.25 END AS key
+         -ln(u) / CASE WHEN length(text) > 0 THEN 0.25 + CAST(length(translate(text, '""" + SIGNS + """', '')) AS DOUBLE) / length(text) ELSE 0.25 END AS key
   FROM d
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS k FROM k GROUP BY source
