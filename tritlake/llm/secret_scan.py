@@ -12,8 +12,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from re import _constants as _rc
-from re import _parser as _rp
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +52,91 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 
+class _Pattern:
+    """Parser of a rule: signs, escapes, classes, groups, | and the repeats ? * + {m,n}. Gives nested tuples.
+
+    ("set", bytes), ("all", parts), ("any", options), ("repeat", part, least, most or None).
+    """
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+
+    def parse(self) -> tuple:
+        out = self._options()
+        if self.at < len(self.text):
+            raise ValueError(f"not supported in a rule: {self.text[self.at :]}")
+        return out
+
+    def _peek(self) -> str:
+        return self.text[self.at] if self.at < len(self.text) else ""
+
+    def _take(self) -> str:
+        self.at += 1
+        return self.text[self.at - 1]
+
+    def _options(self) -> tuple:
+        options = [self._parts()]
+        while self._peek() == "|":
+            self._take()
+            options.append(self._parts())
+        return ("any", options)
+
+    def _parts(self) -> tuple:
+        parts = []
+        while self._peek() not in ("", "|", ")"):
+            parts.append(self._repeated(self._one()))
+        return ("all", parts)
+
+    def _one(self) -> tuple:
+        c = self._take()
+        if c == "(":
+            inner = self._options()
+            if self._peek() != ")":
+                raise ValueError("a group is open")
+            self._take()
+            return inner
+        if c == "[":
+            return ("set", self._class())
+        if c in ".^$?*+{":
+            raise ValueError(f"not supported in a rule: {c}")
+        return ("set", frozenset([self._byte(c)]))
+
+    def _byte(self, c: str) -> int:
+        if c != "\\":
+            return ord(c)
+        c = self._take()
+        if c == "x":
+            self.at += 2
+            return int(self.text[self.at - 2 : self.at], 16)
+        if c.isalnum():
+            raise ValueError(f"not supported in a rule: \\{c}")
+        return ord(c)
+
+    def _class(self) -> frozenset[int]:
+        out: set[int] = set()
+        while self._peek() != "]":
+            first = last = self._byte(self._take())
+            if self._peek() == "-" and self.text[self.at + 1] != "]":
+                self._take()
+                last = self._byte(self._take())
+            out.update(range(first, last + 1))
+        self._take()
+        return frozenset(out)
+
+    def _repeated(self, part: tuple) -> tuple:
+        while self._peek() and self._peek() in "?*+{":
+            c = self._take()
+            if c == "{":
+                end = self.text.index("}", self.at)
+                low, _, high = self.text[self.at : end].partition(",")
+                bounds = (int(low), int(high) if high else None if "," in self.text[self.at : end] else int(low))
+                self.at = end + 1
+            else:
+                bounds = {"?": (0, 1), "*": (0, None), "+": (1, None)}[c]
+            part = ("repeat", part, *bounds)
+        return part
+
+
 class _Nfa:
     """Thompson construction over byte sets; `reverse` builds the automaton of the reversed language."""
 
@@ -65,56 +148,38 @@ class _Nfa:
         self.step.append([])
         return len(self.eps) - 1
 
-    def add(self, parsed, start: int) -> int:
-        """Append the parsed sequence behind `start`; gives the end state."""
-        for op, arg in reversed(list(parsed)) if self.reverse else parsed:
-            start = self._item(op, arg, start)
-        return start
-
-    def _item(self, op, arg, start: int) -> int:
-        if op in (_rc.LITERAL, _rc.IN):
+    def add(self, node: tuple, start: int) -> int:
+        """Append what a parsed node stands for behind `start`; gives the end state."""
+        kind = node[0]
+        if kind == "set":
             end = self.state()
-            self.step[start].append((_byte_set(op, arg), end))
+            self.step[start].append((node[1], end))
             return end
-        if op is _rc.SUBPATTERN:
-            return self.add(arg[3], start)
-        if op is _rc.BRANCH:
+        if kind == "all":
+            for part in reversed(node[1]) if self.reverse else node[1]:
+                start = self.add(part, start)
+            return start
+        if kind == "any":
             end = self.state()
-            for option in arg[1]:
+            for option in node[1]:
                 first = self.state()
                 self.eps[start].append(first)
                 self.eps[self.add(option, first)].append(end)
             return end
-        if op is _rc.MAX_REPEAT:
-            low, high, body = arg
-            for _ in range(low):
-                start = self.add(body, start)
-            if high is _rc.MAXREPEAT:
-                loop = self.state()
-                self.eps[start].append(loop)
-                self.eps[self.add(body, loop)].append(loop)
-                return loop
-            ends = [start]
-            for _ in range(high - low):
-                ends.append(self.add(body, ends[-1]))
-            for e in ends[:-1]:
-                self.eps[e].append(ends[-1])
-            return ends[-1]
-        raise ValueError(f"not supported in a rule: {op}")
-
-
-def _byte_set(op, arg) -> frozenset[int]:
-    if op is _rc.LITERAL:
-        return frozenset([arg])
-    out: set[int] = set()
-    for kind, x in arg:
-        if kind is _rc.LITERAL:
-            out.add(x)
-        elif kind is _rc.RANGE:
-            out.update(range(x[0], x[1] + 1))
-        else:
-            raise ValueError(f"not supported in a class: {kind}")
-    return frozenset(out)
+        _, body, low, high = node
+        for _ in range(low):
+            start = self.add(body, start)
+        if high is None:
+            loop = self.state()
+            self.eps[start].append(loop)
+            self.eps[self.add(body, loop)].append(loop)
+            return loop
+        ends = [start]
+        for _ in range(high - low):
+            ends.append(self.add(body, ends[-1]))
+        for e in ends[:-1]:
+            self.eps[e].append(ends[-1])
+        return ends[-1]
 
 
 @dataclass(frozen=True)
@@ -141,7 +206,7 @@ def compile_rules(patterns: list[str], reverse: bool, search: bool) -> Dfa:
     for k, p in enumerate(patterns):
         first = nfa.state()
         nfa.eps[start].append(first)
-        ends[nfa.add(_rp.parse(p), first)] = 1 << k
+        ends[nfa.add(_Pattern(p).parse(), first)] = 1 << k
     sets = {s for steps in nfa.step for s, _ in steps}
     signature = [tuple(b in s for s in sets) for b in range(256)]
     number = {sig: k for k, sig in enumerate(dict.fromkeys(signature))}
@@ -261,7 +326,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: id, n_assign, n_access, n_hex, base_sha256, spans. See the module for the method.
 
     A null or empty text has no spans (counts 0, the digest of the empty string). Repeated rows give repeated rows, a null
-    id stays null; other columns of `docs` are ignored. Narrow: no shuffle, one pass, and a lost task is simply run again.
+    id stays null; other columns of `docs` are ignored; an empty table gives no rows; very long texts are read byte by byte. Narrow: no shuffle, one pass, and a lost task is simply run again.
     """
     base = {r.name for r in BASE_RULES}
 
@@ -281,7 +346,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The same rows and columns; secrets in `text_col` become [REDACTED]. A null text stays null."""
+    """The same rows and columns; secrets in `text_col` become [REDACTED].
+
+    A null text stays null, an empty one empty; repeated rows, other columns whatever their names and an empty table stay as they are.
+    """
     k = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
