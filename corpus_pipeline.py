@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tritlake.llm.common import bounded_batches, cut_lineage, table
 from tritlake.llm.decontaminate import decontaminate
 from tritlake.llm.language_id import keep_identified
-from tritlake.llm.mixing import mix_sources, word_count
+from tritlake.llm.mixing import mix_sources
 from tritlake.llm.secret_scan import redact_secrets
 from tritlake.llm.simhash import drop_near_duplicates
 
@@ -19,25 +19,41 @@ def _with_n_chars(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified with confidence."""
+    """Documents whose language is identified with confidence.
+
+    Null, empty and letterless texts go; repeated rows and ties get equal answers; an empty table, or one without any declared
+    language, keeps nothing. All columns stay, whatever their names.
+    """
     bounded_batches(spark)
     return keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates, the one with the smallest id."""
+    """One document of each group of SimHash near-duplicates, the one with the smallest id.
+
+    Null and empty texts are one group. Rows with a null id stay, and so do rows that repeat the kept id. An empty table stays
+    empty. All columns stay, whatever their names.
+    """
     bounded_batches(spark)
     return drop_near_duplicates(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages: the heavily hit ones go, the others lose the passages."""
+    """Documents without benchmark passages: the heavily hit ones go, the others lose the passages.
+
+    Null and empty texts are not hit and stay as they are; repeated rows are treated alike; an empty table stays empty. All
+    columns stay, whatever their names.
+    """
     bounded_batches(spark)
     return _with_n_chars(decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets redacted."""
+    """All documents, with secrets redacted.
+
+    Null and empty texts stay as they are; repeated rows are treated alike; an empty table stays empty. All columns stay,
+    whatever their names.
+    """
     bounded_batches(spark)
     return _with_n_chars(redact_secrets(docs))
 
@@ -46,14 +62,19 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with size, target (their source's words), taken (words) and epochs (taken / size; a part of
     the last one where the budget ends within the document).
 
-    Rows that repeat id, source and size are taken alike. Documents without words are not taken.
+    Null and empty texts and others without words are not taken. Each of several equal rows is taken for its own share, so that
+    a source's words add up to its target. An empty table stays empty. All columns stay; where the input has a column size,
+    target, taken or epochs, the mix's own is called mix_size and so on.
     """
     bounded_batches(spark)
-    plan = mix_sources(docs).filter("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("target").alias("target"), F.max("taken").alias("taken"))
-    p = plan.select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__n"), "target", "taken")
-    d = docs.withColumn("size", word_count(F.col("text")))
-    out = d.join(p, d["doc_id"].eqNullSafe(p["__i"]) & d["source"].eqNullSafe(p["__s"]) & (d["size"] == p["__n"]))
-    return out.select(*docs.columns, "size", "target", "taken", (F.col("taken") / F.col("size")).alias("epochs"))
+    names = list(docs.columns)
+    for own in ("size", "target", "taken", "epochs"):
+        while own in names:
+            own = f"mix_{own}"
+        names.append(own)
+    d = mix_sources(docs, keep=True).filter("__taken > 0")
+    values = [*(F.col(f"`{c}`") for c in docs.columns), F.col("__size"), F.col("__target"), F.col("__taken"), F.col("__taken") / F.col("__size")]
+    return d.select(*(v.alias(n) for v, n in zip(values, names, strict=True)))
 
 
 #: In this order: operators 8, 3, 7, 10 and 9.
