@@ -28,6 +28,9 @@ WIDTH, GRAM = 200, 64
 BLOCK, SEPARATOR = 1 << 20, 0xFF
 #: Bytes after which a shard ends at the next anchor; stretches from which on an anchor's strings are folded.
 SHARD, HOT = 1 << 22, 1 << 12
+#: Kinds of the rows that are dealt: a stretch with its text, a string of a hot anchor by its digest, one that is known to repeat.
+TEXT, DIGEST, SETTLED = 0, 1, 2
+_WORD = (1 << 64) - 1
 
 
 def anchors(data: bytes, width: int = WIDTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -162,55 +165,75 @@ def repeated_spans(base: DataFrame, width: int = WIDTH, gram: int = GRAM, shard:
     wanted = stretches.select("a", "c", "k", "hot", "r.*").groupBy(F.col("i").alias("i1"), F.col("h").alias("h1")).agg(F.collect_list(F.struct("a", "k", "s", "n", "hot")).alias("want"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ["i", "h", "a", "done", "s", "n", "t", "d"], [pa.int64()] * 3 + [pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
+        names, types = ["i", "h", "key", "kind", "done", "s", "n", "t"], [pa.int64()] * 3 + [pa.int8(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()]
         for b in batches:
-            rows = []
+            rows, strings = [], {}
             for k in range(b.num_rows):
                 i, h, text, want = (b.column(j)[k].as_py() for j in range(1, 5))
                 data = text.encode("utf-8", "surrogatepass")
                 for x in want:
-                    s, n = x["s"], x["n"]
+                    s, n, done = x["s"], x["n"], x["k"] > 1
                     if x["hot"]:
-                        rows += [(i, h, x["a"], x["k"] > 1, p, 1, None, xxhash.xxh3_64_intdigest(data[p : p + width]) - (1 << 63)) for p in range(s, s + n)]
+                        for p in range(s, s + n):
+                            strings.setdefault(xxhash.xxh3_64_intdigest(data[p : p + width], x["a"] & _WORD), []).append((i, h, p, done))
                     else:
-                        rows.append((i, h, x["a"], x["k"] > 1, s, n, data[s : s + n + width - 1], None))
-                if len(rows) >= 1 << 14:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                        rows.append((i, h, x["a"], TEXT, done, s, n, data[s : s + n + width - 1]))
+            for digest, places in strings.items():
+                # Several in one batch are known to repeat: they are settled, and one tells the others.
+                many = len(places) > 1
+                if many:
+                    rows += [(i, h, (digest ^ hash((i, p)) & _WORD) - (1 << 63), SETTLED, False, p, 1, None) for i, h, p, done in places if not done]
+                i, h, p, done = places[0]
+                rows.append((i, h, digest - (1 << 63), DIGEST, done or many, p, 1, None))
+            for at in range(0, len(rows), 1 << 14):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + (1 << 14)], strict=True), types, strict=True)], names=names)
 
     # The same columns of the texts are dealt here and at the end, so that one shuffle of them serves both.
     texts = base.join(wanted, (F.col("i") == F.col("i1")) & (F.col("h") == F.col("h1"))).select("__id", "i", "h", "text", "want")
-    fetched = cut_lineage(texts.mapInArrow(fetch, "i long, h long, a long, done boolean, s long, n int, t binary, d long"))
-    strings = fetched.filter("d is not null")
-    more = strings.groupBy(F.col("a").alias("a1"), F.col("d").alias("d1")).agg(F.count("*").alias("k")).filter("k > 1")
-    folded = strings.join(more, (F.col("a") == F.col("a1")) & (F.col("d") == F.col("d1"))).filter("not done").select("i", "h", "s", (F.col("s") + width).alias("e"))
-    shards = fetched.filter("t is not null").select("i", "h", "a", "done", "s", "n", "t").repartition("a").sortWithinPartitions("a")
+    fetched = texts.mapInArrow(fetch, "i long, h long, key long, kind tinyint, done boolean, s long, n int, t binary")
+    shards = fetched.repartition("key").sortWithinPartitions("key")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def judged(own: Shard) -> Iterator[pa.RecordBatch]:
-            rows: list[tuple] = []
-            for row in own.repeated(width):
-                rows.append(row)
-                if len(rows) >= 1 << 14:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["i", "h", "s", "e"])
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["i", "h", "s", "e"])
-
-        own, last = Shard(), None
+        out: list[tuple[int, int, int, int]] = []
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["i", "h", "s", "e"])
+            out.clear()
+            return made
+
+        own, last, first, told = Shard(), None, None, False
         for b in batches:
-            for i, h, a, done, s, n, t in zip(*(b.column(j).to_pylist() for j in range(7)), strict=True):
-                if own.size >= shard and a != last:
-                    yield from judged(own)
-                    own = Shard()
-                own.add(i, h, done, s, n, t)
-                last = a
+            for i, h, key, kind, done, s, n, t in zip(*(b.column(j).to_pylist() for j in range(8)), strict=True):
+                if kind == TEXT:
+                    if own.size >= shard and key != last:
+                        for row in own.repeated(width):
+                            out.append(row)
+                            if len(out) >= 1 << 14:
+                                yield batch()
+                        own = Shard()
+                    own.add(i, h, done, s, n, t)
+                    last = key
+                elif kind == SETTLED:
+                    out.append((i, h, s, s + width))
+                elif first is None or first[0] != key:
+                    first, told = (key, i, h, s, done), False
+                else:
+                    if not told and not first[4]:
+                        out.append((*first[1:4], first[3] + width))
+                    told = True
+                    if not done:
+                        out.append((i, h, s, s + width))
+            if len(out) >= 1 << 14:
+                yield batch()
         if own.size:
-            yield from judged(own)
+            for row in own.repeated(width):
+                out.append(row)
+                if len(out) >= 1 << 14:
+                    yield batch()
+        if out:
+            yield batch()
 
-    return covered.union(folded).union(shards.mapInArrow(sort, "i long, h long, s long, e long"))
+    return covered.union(shards.mapInArrow(sort, "i long, h long, s long, e long"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -218,7 +241,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null and empty texts have no bytes; texts shorter than `width` lose none. All occurrences of a repeated string go, the
     first too. Repeated rows repeat each other's strings; each is judged as a document of its own. A null id is as good as
-    any other; extra columns are ignored. What is kept may be cut within a character, so it is given by its digest.
+    any other; extra columns are ignored; an empty table gives no rows. Very long texts are read in blocks. What is kept may be cut within a character, so it is given by its digest.
     """
     base = id_and_text(docs, id_col, text_col).select("__id", F.coalesce("__id", F.lit(-(2**63))).alias("i"), F.xxhash64("__text").alias("h"), F.col("__text").alias("text"))
     spans = repeated_spans(base, width, gram)
