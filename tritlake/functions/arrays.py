@@ -26,9 +26,15 @@ def sad(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("long")))
 
 
+def squares(a: Column, b: Column) -> Column:
+    """Sum of squared differences."""
+    return total(F.zip_with(a, b, lambda x, y: ((x - y) * (x - y)).cast("long")))
+
+
 def chi_square(a: Column, b: Column) -> Column:
-    """-sum of (x-y)^2 div (x+y) over the cells that are not both zero."""
-    return -total(F.zip_with(a, b, lambda x, y: F.when(x + y > 0, div((x - y) * (x - y), x + y)).otherwise(F.lit(0).cast("long"))))
+    """-sum of (x-y)^2 / (x+y) over the cells that are not both zero, nine digits."""
+    part = F.zip_with(a, b, lambda x, y: F.when(x + y > 0, (x - y) * (x - y) / (x + y)).otherwise(F.lit(0.0)))
+    return F.round(-F.aggregate(part, F.lit(0.0), lambda s, x: s + x), 9)
 
 
 def order_stat(a: Column, place: Column | int) -> Column:

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder that the session names; a temporary one only where none is set, as in tests."""
+    """Checkpoint into the shared folder that the session names. A local session without one gets a temporary folder; on a
+    cluster that is an error, as executors do not see the driver's disk."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
     return df.checkpoint(eager=True)

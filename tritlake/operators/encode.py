@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tritlake.functions import grid as G
+from tritlake.functions import shape
 from tritlake.functions.grid import Grid
 
 
@@ -41,10 +42,24 @@ def transition_signatures(images: DataFrame, grid: Grid) -> DataFrame:
     return exploded(d, {"ht": right, "vt": below})
 
 
+def joint_arrays(images: DataFrame, grid: Grid, kind: str = "d") -> DataFrame:
+    """Adds c_joint: one byte for each position."""
+    d = with_codes(images, grid)
+    return d.withColumn("c_joint", grid.joint_codes(F.col("c_px"), F.col("c_hg"), F.col("c_vg"), kind))
+
+
 def joint_signatures(images: DataFrame, grid: Grid, kind: str = "d") -> DataFrame:
     """One byte for each position: channel `joint`."""
-    d = with_codes(images, grid)
-    return exploded(d, {"joint": grid.joint_codes(F.col("c_px"), F.col("c_hg"), F.col("c_vg"), kind)})
+    return exploded(joint_arrays(images, grid, kind), {"joint": F.col("c_joint")})
+
+
+def colour_gradient_signatures(images: DataFrame, grid: Grid, planes_: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """Block codes of the ternary gradients of each colour plane: channels r_h, r_v and so on."""
+    out = {}
+    for c in planes_:
+        h, v = grid.gradients(G.ternary(F.col(c)))
+        out |= {f"{c}_h": grid.block_codes(h), f"{c}_v": grid.block_codes(v)}
+    return exploded(images, out)
 
 
 def pentary_signatures(images: DataFrame, grid: Grid, length: int = 3) -> DataFrame:
@@ -86,9 +101,17 @@ def hyperplane_hash(images: DataFrame, planes_: DataFrame) -> DataFrame:
 
 
 def walsh_hadamard(images: DataFrame, side: int) -> DataFrame:
-    """(id, u, coef): two-dimensional transform of the ternary plane, padded to side x side; u = row * side + column."""
-    d = images.select("id", F.posexplode("t").alias("pos", "t")).filter("t <> 0")
-    u = F.sequence(F.lit(0), F.lit(side * side - 1))
-    d = d.select("id", "pos", "t", F.explode(u).alias("u"))
-    odd = F.bit_count(F.col("pos").bitwiseAND(F.col("u"))) % 2
-    return d.groupBy("id", "u").agg(F.sum(F.when(odd == 1, -F.col("t")).otherwise(F.col("t"))).alias("coef"))
+    """(id, u, coef) of `spectra`: a row for each coefficient."""
+    return spectra(images, side).select("id", F.posexplode("coefs").alias("u", "coef")).withColumn("coef", F.col("coef").cast("long"))
+
+
+def spectra(images: DataFrame, side: int) -> DataFrame:
+    """The images with `coefs`: two-dimensional transform of the ternary plane; place = row * side + column. `side` is a power of
+    two; the plane t has side x side cells (pad it first if it has fewer)."""
+    return images.withColumn("coefs", shape.walsh(F.col("t"), side * side))
+
+
+def bag_masks(spark: SparkSession, bags: int, positions: int, percent: int, seed: str = "bag") -> DataFrame:
+    """(bag, pos): each position is in a bag with the given chance, by a digest of seed, bag and position."""
+    d = spark.range(bags * positions).select((F.col("id") / positions).cast("int").alias("bag"), (F.col("id") % positions).cast("int").alias("pos"))
+    return d.filter(F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "bag", "pos")), 1, 4), 16, 10).cast("int") % 100 < percent)

@@ -16,7 +16,7 @@ from tritlake.functions import grid as G
 from tritlake.functions.grid import Grid
 from tritlake.functions.lineage import kept
 
-from . import encode, train
+from . import encode, retrieve, train
 
 
 def gradient_histograms(images: DataFrame, grid: Grid, channels: dict[str, Column], rows: int = 1, cols: int = 1) -> DataFrame:
@@ -88,22 +88,22 @@ def rescued_votes(images: DataFrame, grid: Grid, votes: DataFrame, ig: DataFrame
 # Propagation
 
 
-def propagate(planes: DataFrame, preds: DataFrame, sure: int, k: int = 7, anchors: int = 500, agree: int = 6, waves: int = 1) -> DataFrame:
+def propagate(planes: DataFrame, preds: DataFrame, sure: int, k: int = 7, anchors: int | None = 500, agree: int = 6, waves: int = 1) -> DataFrame:
     """(qid, pred, wave): rows with `agree` of at least `sure` keep their class and are anchors; the others vote among their k nearest.
 
-    planes: (id, t); preds: (qid, pred, agree). A wave looks at the `anchors` anchors whose digests of the id are least, a
-    bound on what is broadcast; nearness is the dot product, ties go to the smaller id, ties of votes to the lower class. Rows
+    planes: (id, t); preds: (qid, pred, agree). A wave looks at the `anchors` anchors whose digests of the id are least, as
+    the survey's form looks at some 500; with None at all of them, block by block; nearness is the dot product, ties go to the smaller id, ties of votes to the lower class. Rows
     that win `agree` votes are anchors of the next wave; a row keeps the class of its last vote. Without anchors nothing changes.
     """
     t = planes.select(F.col("id").alias("qid"), "t")
     state = preds.withColumn("wave", F.when(F.col("agree") >= sure, 0)).select("qid", "pred", "wave")
     for wave in range(1, waves + 1):
         state = kept(state.join(t, "qid"))
-        some = state.filter("wave is not null").orderBy(F.md5(F.col("qid").cast("string")), "qid").limit(anchors)
-        some = F.broadcast(some.select(F.col("qid").alias("aid"), F.col("pred").alias("cls"), F.col("t").alias("a")))
-        pairs = state.filter("wave is null").join(some).select("qid", "aid", "cls", A.dot(F.col("t"), F.col("a")).alias("sim"))
-        near = pairs.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("sim"), "aid"))).filter(F.col("r") <= k)
-        n = near.groupBy("qid", "cls").agg(F.count("*").alias("n"))
+        some = state.filter("wave is not null")
+        if anchors is not None:
+            some = some.orderBy(F.md5(F.col("qid").cast("string")), "qid").limit(anchors)
+        near = retrieve.brute(state.filter("wave is null").select("qid", F.col("t").alias("qa")), some.select(F.col("qid").alias("tid"), F.col("pred").alias("tlabel"), F.col("t").alias("ta")), "dot", k)
+        n = near.groupBy("qid", F.col("tlabel").alias("cls")).agg(F.count("*").alias("n"))
         won = n.groupBy("qid").agg(F.max_by("cls", F.struct("n", -F.col("cls"))).alias("new"), F.max("n").alias("n"))
         state = state.drop("t").join(won, "qid", "left").select("qid", F.coalesce("new", "pred").alias("pred"), F.coalesce("wave", F.when(F.col("n") >= agree, wave)).alias("wave"))
     return state.select("qid", "pred", F.coalesce("wave", F.lit(waves + 1)).alias("wave"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,44 +38,95 @@ def votes(probes_: DataFrame, postings: DataFrame) -> DataFrame:
     return hit.groupBy("qid", "tid", "tlabel").agg(F.sum("w").alias("votes"))
 
 
-def votes_by_kernel(sigs: DataFrame, probes_: DataFrame, bg: DataFrame | None) -> DataFrame:
-    """The same votes as `votes`, as a kernel: the training rows pass once, against all queries' weights in one sparse matrix.
+#: Most bytes of a block of queries that is broadcast; most queries of one.
+BLOCK_BYTES, BLOCK_QUERIES = 1 << 26, 256
 
-    Every (channel, pos, val) is a column; a training row has ones at its values, a query the weights of its probes. The
-    queries are a stated set and their probes are on the driver, so this is for few queries; training rows are not shuffled.
+
+def query_blocks(rows: DataFrame, width: int, fill, most: int = BLOCK_QUERIES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of a stated query set, some queries at a time: `fill(row, line)` writes a row into its line of the matrix.
+
+    Rows come partition by partition, and a block's size is fixed by the width of a line, so neither grows with the set.
     """
-    key = F.concat_ws("|", "channel", "pos", "val")
-    rows = probes_.groupBy("qid", key.alias("k")).agg(F.sum("w").alias("w")).collect()
-    qids = sorted({r["qid"] for r in rows})
-    place = {q: i for i, q in enumerate(qids)}
-    table: dict[str, tuple[list[int], list[int]]] = {}
-    for r in rows:
-        table.setdefault(r["k"], ([], []))
-        table[r["k"]][0].append(place[r["qid"]])
-        table[r["k"]][1].append(r["w"])
-    shared = sigs.sparkSession.sparkContext.broadcast({k: (np.array(a), np.array(b)) for k, (a, b) in table.items()})
-    t = sigs.filter("not is_query")
-    if bg is not None:
-        t = t.join(F.broadcast(bg), "channel").filter("val <> bg")
-    docs = t.groupBy(F.col("id").alias("tid"), F.col("label").alias("tlabel")).agg(F.collect_list(key).alias("ks"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = np.array(qids, np.int64)
-        for b in batches:
-            out = []
-            for tid, lab, ks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                acc = np.zeros(len(ids), np.int64)
-                for k in ks:
-                    if k in shared.value:
-                        at, w = shared.value[k]
-                        acc[at] += w
-                hit = np.flatnonzero(acc)
-                out.append((ids[hit], np.full(len(hit), tid), np.full(len(hit), lab), acc[hit]))
-            if out:
-                q, t_, lb, v = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(t_, pa.int64()), pa.array(lb.astype(np.int32)), pa.array(v, pa.int64())], names=["qid", "tid", "tlabel", "votes"])
-
-    return docs.mapInArrow(run, "qid long, tid long, tlabel int, votes long")
+    n = max(1, min(most, BLOCK_BYTES // (4 * width)))
+    ids, lines = [], np.zeros((n, width), np.int32)
+    for row in rows.toLocalIterator():
+        fill(row, lines[len(ids)])
+        ids.append(row["qid"])
+        if len(ids) == n:
+            yield np.array(ids, np.int64), lines
+            ids, lines = [], np.zeros((n, width), np.int32)
+    if ids:
+        yield np.array(ids, np.int64), lines[: len(ids)]
+
+
+def _by_blocks(train: DataFrame, blocks: Iterator[tuple[np.ndarray, np.ndarray]], score, k: int | None, ascending: bool = False) -> DataFrame:
+    """(qid, tid, tlabel, score): the training rows (tid, tlabel, array) pass once for each block of queries.
+
+    `score(matrix, arrays)` gives a line for each query. With k a task keeps its best k rows of each query, so that only those
+    are shuffled; without, all rows with a score come out.
+    """
+    sc, parts = train.sparkSession.sparkContext, []
+    for block in blocks:
+        shared = sc.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, matrix = shared.value
+            held: tuple[np.ndarray, ...] | None = None  # per query: scores, ids, labels of the best so far
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                order = np.argsort(b.column(0).to_numpy(), kind="stable")
+                tid, lab = b.column(0).to_numpy()[order], b.column(1).to_numpy()[order]
+                s = score(matrix, np.stack(b.column(2).to_numpy(zero_copy_only=False))[order])
+                if k is None:
+                    q, t = np.nonzero(s)
+                    yield _rows(ids[q], tid[t], lab[t], s[q, t])
+                    continue
+                now = (s, np.broadcast_to(tid, s.shape), np.broadcast_to(lab, s.shape))
+                if held is not None:
+                    now = tuple(np.concatenate(x, axis=1) for x in zip(held, now, strict=True))
+                best = np.lexsort((now[1], now[0] if ascending else -now[0]), axis=1)[:, :k]
+                held = tuple(np.take_along_axis(x, best, 1) for x in now)
+            if held is not None:
+                yield _rows(np.repeat(ids, held[0].shape[1]), held[1].reshape(-1), held[2].reshape(-1), held[0].reshape(-1))
+
+        parts.append(train.mapInArrow(run, "qid long, tid long, tlabel int, score long"))
+    if not parts:
+        return train.sparkSession.createDataFrame([], "qid long, tid long, tlabel int, score long")
+    return reduce(DataFrame.union, parts)
+
+
+def _rows(q: np.ndarray, t: np.ndarray, lab: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(t, pa.int64()), pa.array(lab.astype(np.int32)), pa.array(s.astype(np.int64))], names=["qid", "tid", "tlabel", "score"])
+
+
+def kernel_votes(codes: DataFrame, probes_: DataFrame, slots: dict[str, int], values: int, k: int | None = None) -> DataFrame:
+    """(qid, tid, tlabel, votes): the votes of the index as a kernel over arrays of codes, without a shuffle of the training rows.
+
+    codes: (tid, tlabel, codes), a code below `values` for each position of the channels, which begin at the places `slots`
+    gives. A query is a line of weights, one for each place and value; a row's votes are the sum of the weights at its codes.
+    With k only the best k rows of each query stay (more votes, then the smaller id), cut in each task before any shuffle.
+    """
+    begin = F.create_map(*(F.lit(x) for pair in slots.items() for x in pair))
+    col = (F.element_at(begin, F.col("channel")) + F.col("pos")) * values + F.col("val")
+    rows = probes_.groupBy("qid", col.alias("c")).agg(F.sum("w").alias("w")).groupBy("qid").agg(F.collect_list(F.struct("c", "w")).alias("x"))
+    n = codes.select(F.size("codes")).first()
+    width = (n[0] if n else 0) * values
+
+    def fill(row, line: np.ndarray) -> None:
+        for x in row["x"]:
+            line[x["c"]] = x["w"]
+
+    def score(matrix: np.ndarray, arrays: np.ndarray) -> np.ndarray:
+        out, turned = np.zeros((len(arrays), len(matrix)), np.int32), np.ascontiguousarray(matrix.T)
+        for s in range(arrays.shape[1]):
+            out += turned[arrays[:, s] + s * values]
+        return out.T
+
+    blocks = query_blocks(rows, width, fill) if width else iter(())
+    found = _by_blocks(codes.select(F.col("tid").cast("long"), F.col("tlabel").cast("int"), "codes"), blocks, score, k)
+    votes_ = found.filter("score > 0").select("qid", "tid", "tlabel", F.col("score").alias("votes"))
+    return votes_ if k is None else top_exact(votes_, k)
 
 
 def top_exact(v: DataFrame, k: int) -> DataFrame:
@@ -107,35 +159,46 @@ def merge_bags(bags: DataFrame, k: int) -> DataFrame:
     return m.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def brute(queries: DataFrame, train: DataFrame, distance, k: int, ascending: bool) -> DataFrame:
-    """All pairs of a stated query set (qid, qa) with the training rows (tid, tlabel, ta), the best k of each query.
+def _dots(matrix: np.ndarray, arrays: np.ndarray) -> np.ndarray:
+    return (matrix.astype(np.float64) @ arrays.T.astype(np.float64)).astype(np.int64)
+
+
+def _sads(matrix: np.ndarray, arrays: np.ndarray) -> np.ndarray:
+    return np.stack([np.abs(arrays - q).sum(axis=1) for q in matrix])
+
 
-    The queries are broadcast: they must be few. Spark plans a nested loop without a shuffle of the training rows.
+def _squares(matrix: np.ndarray, arrays: np.ndarray) -> np.ndarray:
+    return (matrix.astype(np.int64) ** 2).sum(axis=1)[:, None] + (arrays.astype(np.int64) ** 2).sum(axis=1) - 2 * _dots(matrix, arrays)
+
+
+def _bits(matrix: np.ndarray, arrays: np.ndarray) -> np.ndarray:
+    """Differing bits of 64-bit hashes, held as two halves."""
+    return np.stack([np.bitwise_count((arrays ^ q).astype(np.uint32)).sum(axis=1, dtype=np.int64) for q in matrix])
+
+
+#: Nearness of a block of queries to a batch of rows, and whether less is nearer.
+NEARNESS = {"dot": (_dots, False), "sad": (_sads, True), "l2": (_squares, True), "hamming": (_bits, True)}
+
+
+def brute(queries: DataFrame, train: DataFrame, nearness: str, k: int, block: int = BLOCK_QUERIES) -> DataFrame:
+    """(qid, tid, tlabel, score, rank): a stated query set (qid, qa) against all training rows (tid, tlabel, ta), the best k of each query.
+
+    The rows pass once for each block of queries, as matrix operations over Arrow batches; each task cuts to k before the one
+    shuffle. Arrays are integers of one length; of equal scores the smaller id is nearer.
     """
-    pairs = train.join(F.broadcast(queries)).select("qid", "tid", "tlabel", distance(F.col("qa"), F.col("ta")).cast("long").alias("score"))
+    score, ascending = NEARNESS[nearness]
+    first = queries.select(F.size("qa")).first()
+
+    def fill(row, line: np.ndarray) -> None:
+        line[:] = row["qa"]
+
+    blocks = query_blocks(queries.select("qid", "qa"), first[0], fill, block) if first else iter(())
+    found = _by_blocks(train.select(F.col("tid").cast("long"), F.col("tlabel").cast("int"), "ta"), blocks, score, k, ascending)
     order = F.col("score").asc() if ascending else F.col("score").desc()
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(order, "tid"))).filter(F.col("rank") <= k)
-
-
-def brute_dot_blocks(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
-    """`brute` with dot products, as matrix products of Arrow batches: the queries' matrix is broadcast, each task keeps
-    its best k for each query, and one window merges them."""
-    rows = queries.select("qid", "qa").collect()
-    ids = np.array([r["qid"] for r in rows], np.int64)
-    matrix = train.sparkSession.sparkContext.broadcast(np.array([r["qa"] for r in rows], np.float64))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            tid, lab = b.column(0).to_numpy(), b.column(1).to_numpy()
-            t = np.stack(b.column(2).to_numpy(zero_copy_only=False)).astype(np.float64)
-            score = (matrix.value @ t.T).astype(np.int64)
-            n = min(k, len(tid))
-            order = np.lexsort((np.broadcast_to(tid, score.shape), -score), axis=1)[:, :n]
-            q = np.repeat(ids, n)
-            at = order.reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(tid[at]), pa.array(lab[at].astype(np.int32)), pa.array(np.take_along_axis(score, order, 1).reshape(-1))], names=["qid", "tid", "tlabel", "score"])
-
-    best = train.select(F.col("tid").cast("long"), F.col("tlabel").cast("int"), "ta").mapInArrow(run, "qid long, tid long, tlabel int, score long")
-    return best.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "tid"))).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(order, "tid"))).filter(F.col("rank") <= k)
+
+
+def hash_halves(bits: Column) -> Column:
+    """A 64-bit hash as two 32-bit integers."""
+    low = bits.bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.array(*(F.when(h > 0x7FFFFFFF, h - (1 << 32)).otherwise(h).cast("int") for h in (low, F.shiftrightunsigned(bits, 32))))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tritlake.functions.lineage import kept
+
 #: Largest integer weight of a position.
 SCALE = 16
 
@@ -16,6 +18,12 @@ def background(sigs: DataFrame) -> DataFrame:
     return n.groupBy("channel").agg(F.max_by("val", F.struct("n", -F.col("val"))).alias("bg"))
 
 
+def background_of(hot: DataFrame) -> DataFrame:
+    """`background` from the cube, so that the signatures are read once."""
+    n = hot.groupBy("channel", "val").agg(F.sum("cnt").alias("n"))
+    return n.groupBy("channel").agg(F.max_by("val", F.struct("n", -F.col("val"))).alias("bg"))
+
+
 def hot_map(sigs: DataFrame) -> DataFrame:
     """(channel, pos, val, label, cnt) over the training rows."""
     return sigs.filter("not is_query").groupBy("channel", "pos", "val", "label").agg(F.count("*").alias("cnt"))
@@ -90,15 +98,20 @@ def delta_map(hist: DataFrame, states: DataFrame) -> DataFrame:
     return d.withColumn("trit", trit).groupBy("proto", "bin", "trit", "label").agg(F.count("*").alias("cnt"))
 
 
-def bucket_bounds(values: DataFrame, col: str, buckets: int) -> DataFrame:
+def bucket_bounds(values: DataFrame, col: str, buckets: int, slices: int = 256) -> DataFrame:
     """(bucket, bound): the value at place (b+1)*n/B of the sorted values, for all buckets but the last.
 
-    Counts of equal values are summed first, so the ordered pass sees distinct values only.
+    Counts of equal values are summed first. Distinct values are cut into ranges at approximate quantiles, each range is
+    summed by itself, and the ranges' sums, a fixed number of them, give where each begins.
     """
-    n = values.groupBy(col).agg(F.count("*").alias("n"))
-    run = n.select(F.col(col).alias("v"), "n", F.sum("n").over(W.orderBy(col)).alias("upto"), F.sum("n").over(W.partitionBy()).alias("total"))
-    b = F.explode(F.sequence(F.lit(0), F.lit(buckets - 2))).alias("bucket")
-    run = run.select("v", "n", "upto", "total", b)
+    n = kept(values.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count("*").alias("n")))
+    cuts = n.agg(F.percentile_approx("v", F.array(*(F.lit(k / slices) for k in range(1, slices))), F.lit(1000)).alias("cuts"))
+    part = n.join(F.broadcast(cuts)).select("v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("part"))
+    sums = part.groupBy("part").agg(F.sum("n").alias("own"))
+    before = W.partitionBy().orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    sums = sums.select("part", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("before"), F.sum("own").over(W.partitionBy()).alias("total"))
+    run = part.join(F.broadcast(sums), "part").withColumn("upto", F.col("before") + F.sum("n").over(W.partitionBy("part").orderBy("v")))
+    run = run.select("v", "n", "upto", "total", F.explode(F.sequence(F.lit(0), F.lit(buckets - 2))).alias("bucket"))
     place = F.floor((F.col("bucket") + 1) * F.col("total") / buckets)
     return run.filter((place < F.col("upto")) & (place >= F.col("upto") - F.col("n"))).select("bucket", F.col("v").alias("bound"))
 
@@ -108,12 +121,14 @@ def position_order(ig: DataFrame) -> DataFrame:
     return ig.withColumn("ord", F.row_number().over(W.partitionBy("channel").orderBy(F.desc("w"), "pos"))).select("channel", "pos", "ord")
 
 
-def tiles(planes: DataFrame, rounds: int = 5) -> DataFrame:
-    """(id, tile): alternating assignment to the prototype of largest dot product and sign-of-sum prototypes.
+def nearest_tile(protos: dict[int, list[int]]) -> Column:
+    """The prototype of largest dot product with column t; of equals the first."""
+    scored = [F.struct(F.aggregate(F.zip_with("t", F.array(*(F.lit(v) for v in p)), lambda x, y: x * y), F.lit(0), lambda s, x: s + x).alias("score"), F.lit(-k).alias("k")) for k, p in sorted(protos.items())]
+    return -F.array_max(F.array(*scored))["k"]
 
-    Prototypes start from the labels' sums. Only the prototypes, one short array for each label, are on the driver; a tile
-    that loses all members keeps its prototype.
-    """
+
+def tile_prototypes(planes: DataFrame, rounds: int = 5) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
+    """Prototypes of the last assignment of `tiles`, and those that it gives."""
     d = planes.filter("not is_query").select("id", "label", "t")
 
     def signs(grouped: DataFrame, key: str) -> dict[int, list[int]]:
@@ -121,13 +136,20 @@ def tiles(planes: DataFrame, rounds: int = 5) -> DataFrame:
         rows = cells.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "s"))).alias("a")).collect()
         return {r[key]: [(x["s"] > 0) - (x["s"] < 0) for x in r["a"]] for r in rows}
 
-    protos, before = signs(d, "label"), None
+    used = protos = signs(d, "label")
     for _ in range(rounds):
-        scored = [F.struct(F.aggregate(F.zip_with("t", F.array(*(F.lit(v) for v in p)), lambda x, y: x * y), F.lit(0), lambda s, x: s + x).alias("score"), F.lit(-k).alias("k")) for k, p in sorted(protos.items())]
-        best = (-F.array_max(F.array(*scored))["k"]).alias("tile")
-        assigned = d.select("id", "t", best)
-        nxt = protos | signs(assigned, "tile")
-        if nxt == before:
+        used = protos
+        protos = used | signs(d.select("t", nearest_tile(used).alias("tile")), "tile")
+        if protos == used:
             break
-        before = protos = nxt
-    return assigned.select("id", "tile")
+    return used, protos
+
+
+def tiles(planes: DataFrame, rounds: int = 5) -> DataFrame:
+    """(id, tile): alternating assignment to the prototype of largest dot product and sign-of-sum prototypes.
+
+    Prototypes start from the labels' sums. Only the prototypes, one short array for each label, are on the driver; a tile
+    that loses all members keeps its prototype.
+    """
+    used, _ = tile_prototypes(planes, rounds)
+    return planes.filter("not is_query").select("id", nearest_tile(used).alias("tile"))

@@ -98,11 +98,11 @@ def pipeline(ranked: DataFrame, decay: int = 2, first_a: int = 5, topo: int = 10
     return seq.select("qid", "label", argmax_array(F.aggregate("seq", F.array_repeat(F.lit(0).cast("long"), CLASSES), step)).alias("pred"))
 
 
-def hot_scores(sigs: DataFrame, hot: DataFrame, bg: DataFrame | None = None, by_channel: bool = False, log: bool = False, weight: DataFrame | None = None, shift: int = 0) -> DataFrame:
+def hot_scores(sigs: DataFrame, hot: DataFrame, bg: DataFrame | None = None, by_channel: bool = False, log: bool = False, weight: DataFrame | None = None) -> DataFrame:
     """(qid, label, [channel,] cls, score): sums over positions of a query's cells of the class-frequency cube.
 
     All classes are there, with 0 (or ln 0.5 for each position with `log`) where a cell is empty. `bg` leaves background
-    values out; `weight` multiplies by a position's weight; `shift` halves each cell before the sum.
+    values out; `weight` multiplies by a position's weight.
     """
     q = sigs.filter("is_query").select(F.col("id").alias("qid"), "label", "channel", "pos", "val")
     if bg is not None:
@@ -113,8 +113,6 @@ def hot_scores(sigs: DataFrame, hot: DataFrame, bg: DataFrame | None = None, by_
     d = q.join(cube, ["channel", "pos", "val"], "left").withColumn("a", F.coalesce("a", F.array_repeat(F.lit(0).cast("long"), CLASSES)))
     if weight is not None:
         d = d.join(F.broadcast(weight), ["channel", "pos"]).withColumn("a", F.transform("a", lambda x: x * F.col("w")))
-    if shift:
-        d = d.withColumn("a", F.transform("a", lambda x: F.shiftright(x, shift)))
     keys = ["qid", "label", *(["channel"] if by_channel else [])]
     cell = lambda k: F.log(F.col("a")[k] + 0.5) if log else F.col("a")[k]
     g = d.groupBy(*keys).agg(*(F.sum(cell(k)).alias(f"s{k}") for k in range(CLASSES)))

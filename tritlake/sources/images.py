@@ -26,6 +26,13 @@ def vectors_as_images(spark: SparkSession, sf_dir: str, every: int = 5) -> DataF
     return d.select(F.col("vec_id").alias("id"), "label", (F.col("vec_id") % every == 0).alias("is_query"), vector_pixels(F.col("embedding")).alias("px"))
 
 
+def vectors_as_colour(spark: SparkSession, sf_dir: str, turns: tuple[int, ...] = (0, 21, 42)) -> DataFrame:
+    """The images with planes r, g and b: the same cells, begun at another place for each plane."""
+    d = vectors_as_images(spark, sf_dir)
+    turned = lambda n: F.concat(F.slice("px", n + 1, F.size("px") - n), F.slice("px", 1, n)) if n else F.col("px")
+    return d.withColumns(dict(zip("rgb", map(turned, turns), strict=True)))
+
+
 def read_idx(spark: SparkSession, path: str) -> DataFrame:
     """IDX files: (path, id, value array<int>), a row per item; a file of labels gives arrays of one.
 
