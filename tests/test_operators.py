@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tritlake.functions import fields
 from tritlake.functions.grid import Grid
-from tritlake.operators import encode, extend, retrieve, score, train, vote
+from tritlake.operators import extend, retrieve, score, train, vote
 from tritlake.plans import sql
 from tritlake.plans.index import Index
 from tritlake.plans.queries import QUERIES, _sigs
@@ -52,9 +52,11 @@ def test_recurrence_against_plain_python(spark):
 
 def test_kernel_and_join_agree(spark):
     i = Index.fit(vectors_as_images(spark, SF), VECTOR_GRID)
-    p = retrieve.probes(i.sigs, i.ig, i.bg, encode.neighbours(spark, "adjacent"))
     key = lambda d: sorted((r.qid, r.tid, r.votes) for r in d.select("qid", "tid", "votes").collect())
-    assert key(i.votes()) == key(retrieve.votes_by_kernel(i.sigs, p, i.bg))
+    assert key(i.votes()) == key(i.kernel())
+    assert key(retrieve.top_exact(i.votes(), 7)) == key(i.kernel(7))
+    j = Index.fit(vectors_as_images(spark, SF), VECTOR_GRID, joint=True, probe="bitflip")
+    assert key(retrieve.top_exact(j.votes(), 7)) == key(j.kernel(7))
 
 
 def test_the_number_of_partitions_does_not_matter(spark):
@@ -153,7 +155,7 @@ def test_propagation_waves_and_no_anchor(spark):
 
 
 def test_pair_gains_of_all_labels(spark):
-    got = {(r.a, r.b, r.pos): r.w for r in QUERIES["pair_info_gain_all"](spark, SF).collect()}
+    got = {(r.a, r.b, r.pos): r.w for r in QUERIES["pair_info_gain"](spark, SF).filter("channel = 'px'").collect()}
     assert {(a, b) for a, b, _ in got} == {(a, b) for a in range(10) for b in range(a + 1, 10)}
     # One pair on its own, with the background of all labels.
     s = _sigs(spark, SF).filter("channel = 'px'")

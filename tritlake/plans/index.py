@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tritlake.functions import grid as G
 from tritlake.functions.grid import Grid
+from tritlake.functions.lineage import kept
 from tritlake.operators import encode, features, retrieve, score, train, vote
 from tritlake.operators.score import Weights
 
@@ -45,21 +47,39 @@ class Index:
     hot: DataFrame
     ig: DataFrame
     probe: str = "adjacent"
+    quantizer: Callable[[Column], Column] = G.ternary
+    channels: tuple[str, ...] = ("px", "hg", "vg")
+    joint: bool = False
 
     @classmethod
     def fit(cls, images: DataFrame, grid: Grid, quantizer=G.ternary, probe: str = "adjacent", channels: tuple[str, ...] = ("px", "hg", "vg"), joint: bool = False) -> Index:
+        """Reads the training rows once, for the cube, which is kept; background and weights come from it."""
         sigs = encode.joint_signatures(images, grid) if joint else encode.block_signatures(images, grid, quantizer).filter(F.col("channel").isin(*channels))
-        bg, hot = train.background(sigs), train.hot_map(sigs)
-        return cls(images, grid, sigs, bg, hot, train.gain(hot, bg), probe)
+        hot = kept(train.hot_map(sigs))
+        bg = train.background_of(hot)
+        return cls(images, grid, sigs, bg, hot, train.gain(hot, bg), probe, quantizer, channels, joint)
 
     @property
     def described(self) -> DataFrame:
         return features.described(self.images, self.grid)
 
-    def votes(self) -> DataFrame:
+    @property
+    def probes(self) -> DataFrame:
         nbr = None if self.probe == "none" else encode.neighbours(self.images.sparkSession, self.probe)
-        return retrieve.votes(retrieve.probes(self.sigs, self.ig, self.bg, nbr), train.postings(self.sigs, self.bg))
+        return retrieve.probes(self.sigs, self.ig, self.bg, nbr)
+
+    def votes(self) -> DataFrame:
+        """All pairs with a vote, by the inverted index: a join on (channel, position, value)."""
+        return retrieve.votes(self.probes, train.postings(self.sigs, self.bg))
+
+    def kernel(self, k: int | None = None) -> DataFrame:
+        """The same votes without a shuffle of the training rows; with k only the best k of each query."""
+        t = self.images.filter("not is_query")
+        names = ("joint",) if self.joint else self.channels
+        codes = encode.joint_arrays(t, self.grid) if self.joint else encode.with_codes(t, self.grid, self.quantizer)
+        codes = codes.select(F.col("id").alias("tid"), F.col("label").alias("tlabel"), F.concat(*(F.col(f"c_{c}") for c in names)).alias("codes"))
+        positions = self.grid.h * self.grid.strips
+        return retrieve.kernel_votes(codes, self.probes, {c: j * positions for j, c in enumerate(names)}, 256 if self.joint else 27, k)
 
     def retrieve(self, k: int = 200, mode: str = "exact") -> Candidates:
-        top = retrieve.top_exact if mode == "exact" else retrieve.top_threshold_id
-        return Candidates(self, top(self.votes(), k))
+        return Candidates(self, self.kernel(k) if mode == "exact" else retrieve.top_threshold_id(self.kernel(), k))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tritlake.functions import arrays as A
 from tritlake.functions import fields
 from tritlake.functions import grid as G
 from tritlake.functions.lineage import kept
@@ -153,7 +153,7 @@ def count_bin_signatures(spark, sf):
 
 @query
 def walsh_hadamard(spark, sf):
-    return encode.walsh_hadamard(_planes(spark, sf).filter("is_query"), 8)
+    return encode.walsh_hadamard(_planes(spark, sf), 8)
 
 
 # Training
@@ -182,15 +182,10 @@ def info_gain_all_values(spark, sf):
 
 @query
 def pair_info_gain(spark, sf):
-    s = _sigs(spark, sf).filter("channel = 'px' and label < 4")
-    return train.pair_gain(train.hot_map(s), train.background(s))
-
-
-@query
-def pair_info_gain_all(spark, sf):
-    """All pairs of labels; pair_info_gain keeps to the four labels of its SQL."""
-    s = _sigs(spark, sf).filter("channel = 'px'")
-    return train.pair_gain(train.hot_map(s), train.background(s))
+    """All pairs of labels, all channels."""
+    s = _sigs(spark, sf)
+    hot = kept(train.hot_map(s))
+    return train.pair_gain(hot, train.background_of(hot))
 
 
 @query
@@ -293,8 +288,7 @@ def vote_three_channel(spark, sf):
 
 @query
 def vote_kernel(spark, sf):
-    i = _index(spark, sf)
-    return _vote_rows(retrieve.votes_by_kernel(i.sigs, retrieve.probes(i.sigs, i.ig, i.bg, encode.neighbours(spark, "adjacent")), i.bg))
+    return _vote_rows(_index(spark, sf).kernel())
 
 
 @query
@@ -327,7 +321,7 @@ def vote_bagged(spark, sf):
 
 
 def _top(spark, sf, k: int = K) -> DataFrame:
-    return kept(retrieve.top_exact(_index(spark, sf).votes(), k))
+    return kept(_index(spark, sf).kernel(k))
 
 
 @query
@@ -337,20 +331,18 @@ def topk_exact(spark, sf):
 
 @query
 def topk_threshold_id(spark, sf):
-    return retrieve.top_threshold_id(_index(spark, sf).votes(), K).select("qid", "tid", "votes", "rank")
+    return retrieve.top_threshold_id(_index(spark, sf).kernel(), K).select("qid", "tid", "votes", "rank")
 
 
 @query
 def pool_merge(spark, sf):
-    a = retrieve.top_exact(_index(spark, sf, probe="none", channels=("px",)).votes(), 20)
-    b = retrieve.top_exact(_index(spark, sf, probe="none", channels=("vg",)).votes(), 20)
+    a = _index(spark, sf, probe="none", channels=("px",)).kernel(20)
+    b = _index(spark, sf, probe="none", channels=("vg",)).kernel(20)
     return retrieve.merge_pools(a, b, 30).select("qid", "tid", "votes", "rank")
 
 
 @query
 def bag_merge(spark, sf):
-    from pyspark.sql import Window as W
-
     b = _bags(spark, sf)
     w = W.partitionBy("bag", "qid").orderBy(F.desc("votes"), "tid")
     b = b.withColumn("rn", F.row_number().over(w)).filter("rn <= 20")
@@ -368,25 +360,36 @@ def _brute_rows(d: DataFrame) -> DataFrame:
 
 @query
 def brute_dot(spark, sf):
-    return _brute_rows(retrieve.brute(*_sides(spark, sf, "t"), A.dot, 10, ascending=False))
+    return _brute_rows(retrieve.brute(*_sides(spark, sf, "t"), "dot", 10))
 
 
 @query
 def brute_dot_blocks(spark, sf):
-    return _brute_rows(retrieve.brute_dot_blocks(*_sides(spark, sf, "t"), 10))
+    """Blocks of a few queries give the same."""
+    return _brute_rows(retrieve.brute(*_sides(spark, sf, "t"), "dot", 10, block=64))
+
+
+@query
+def brute_raw_dot(spark, sf):
+    return _brute_rows(retrieve.brute(*_sides(spark, sf, "px"), "dot", 10))
+
+
+@query
+def brute_l2(spark, sf):
+    return _brute_rows(retrieve.brute(*_sides(spark, sf, "px"), "l2", 10))
 
 
 @query
 def brute_sad(spark, sf):
-    return _brute_rows(retrieve.brute(*_sides(spark, sf, "px"), A.sad, 10, ascending=True))
+    return _brute_rows(retrieve.brute(*_sides(spark, sf, "px"), "sad", 10))
 
 
 @query
 def lsh_hamming(spark, sf):
     h = encode.hyperplane_hash(_images(spark, sf), encode.projections(spark, GRID.n))
-    q = h.filter("is_query").select(F.col("id").alias("qid"), F.col("bits").alias("qa"))
-    t = h.filter("not is_query").select(F.col("id").alias("tid"), F.col("label").alias("tlabel"), F.col("bits").alias("ta"))
-    return _brute_rows(retrieve.brute(q, t, A.hamming, 10, ascending=True))
+    q = h.filter("is_query").select(F.col("id").alias("qid"), retrieve.hash_halves(F.col("bits")).alias("qa"))
+    t = h.filter("not is_query").select(F.col("id").alias("tid"), F.col("label").alias("tlabel"), retrieve.hash_halves(F.col("bits")).alias("ta"))
+    return _brute_rows(retrieve.brute(q, t, "hamming", 10))
 
 
 # Features
@@ -628,7 +631,7 @@ def series_log(spark, sf):
 @query
 def router_three_tier(spark, sf):
     i = _index(spark, sf, joint=True, probe="none")
-    top = kept(retrieve.top_exact(i.votes(), K))
+    top = kept(i.kernel(K))
     queries = _images(spark, sf).filter("is_query").select(F.col("id").alias("qid"), "label")
     d = features.described(_images(spark, sf), GRID)
     return route.three_tier(queries, top, _hot_pred(spark, sf), lambda t: kept(score.base_features(t, d, one_sided=0)), sure=12, likely=9)
@@ -641,8 +644,8 @@ def confidence_gate(spark, sf):
 
 @query
 def oracle_merge(spark, sf):
-    a = retrieve.top_exact(_index(spark, sf, probe="none", channels=("px",)).votes(), 20)
-    b = retrieve.top_exact(_index(spark, sf, probe="none", channels=("vg",)).votes(), 20)
+    a = _index(spark, sf, probe="none", channels=("px",)).kernel(20)
+    b = _index(spark, sf, probe="none", channels=("vg",)).kernel(20)
     return route.oracle_merge(a, b, lambda x, y: retrieve.merge_pools(x, y, 30)).select("qid", "tid", "votes", "rank")
 
 
@@ -677,12 +680,14 @@ def vote_concentration(spark, sf):
 
 @query
 def early_exit(spark, sf):
-    s = _sigs(spark, sf).filter("channel = 'px'")
-    hot, bg = train.hot_map(s), train.background(s)
-    order = train.position_order(train.gain(hot, bg))
-    q = s.filter("is_query").select(F.col("id").alias("qid"), "label", "pos", "val").join(F.broadcast(order.select("pos", "ord")), "pos")
+    """Positions of all channels in order of their weight."""
+    s = _sigs(spark, sf)
+    hot = kept(train.hot_map(s))
+    ig = train.gain(hot, train.background_of(hot))
+    order = ig.select("channel", "pos", F.row_number().over(W.partitionBy().orderBy(F.desc("w"), "channel", "pos")).alias("ord"))  # one row a position
+    q = s.filter("is_query").select(F.col("id").alias("qid"), "label", "channel", "pos", "val").join(F.broadcast(order), ["channel", "pos"])
     every = q.withColumn("cls", F.explode(F.sequence(F.lit(0), F.lit(9))))
-    cells = every.join(hot.select("pos", "val", F.col("label").alias("cls"), "cnt"), ["pos", "val", "cls"], "left")
+    cells = every.join(hot.select("channel", "pos", "val", F.col("label").alias("cls"), "cnt"), ["channel", "pos", "val", "cls"], "left")
     return route.early_exit(cells.select("qid", "label", "ord", "cls", F.coalesce("cnt", F.lit(0)).alias("score")))
 
 

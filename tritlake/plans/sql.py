@@ -165,7 +165,7 @@ ORACLE_SQL: dict[str, str] = {
     "quantize_pentary_adaptive": build("""SELECT c.id, c.pos, CASE WHEN p > s[52] THEN 2 WHEN p > s[39] THEN 1 WHEN p > s[26] THEN 0 WHEN p > s[13] THEN -1 ELSE -2 END AS v
         FROM cell c JOIN (SELECT id, list_sort(list(p)) AS s FROM cell GROUP BY id) t ON t.id = c.id"""),
     "quantize_balanced_digits": build("SELECT id, pos, CAST(b // 27 - 1 AS INT) AS d3, CAST(b // 9 % 3 - 1 AS INT) AS d2, CAST(b // 3 % 3 - 1 AS INT) AS d1, CAST(b % 3 - 1 AS INT) AS d0 FROM (SELECT id, pos, p * 81 // 256 AS b FROM cell) z"),
-    "translate": build("SELECT a.id, a.pos, coalesce(b.p, 0) AS v FROM cell a LEFT JOIN cell b ON b.id = a.id AND b.x = a.x - 1 AND b.y = a.y - 1"),
+    "translate": build("SELECT id, pos, CASE WHEN x = 0 OR y = 0 THEN 0 ELSE lag(p, 9) OVER (PARTITION BY id ORDER BY pos) END AS v FROM cell"),
     "upsample": build("SELECT id, CAST((y * 2 + dy) * 16 + x * 2 + dx AS INT) AS pos, p AS v FROM cell, range(2) u(dy), range(2) v(dx)"),
     "pool_mean": build("SELECT id, CAST(y // 4 * 2 + x // 4 AS INT) AS pos, CAST(sum(p) // 16 AS INT) AS v FROM cell GROUP BY id, y // 4, x // 4"),
     "downsample_rounded": build("SELECT id, CAST(y // 2 * 4 + x // 2 AS INT) AS pos, CAST((sum(p) + 2) // 4 AS INT) AS v FROM cell GROUP BY id, y // 2, x // 2"),
@@ -189,21 +189,21 @@ ORACLE_SQL: dict[str, str] = {
     "nbr_pentary": """SELECT CAST(a AS INT) AS val, CAST(b AS INT) AS nval FROM range(125) r(a), range(125) s(b)
         WHERE abs(a // 25 - b // 25) + abs(a // 5 % 5 - b // 5 % 5) + abs(a % 5 - b % 5) = 1""",
     "count_bin_signatures": build("SELECT id, bin AS pos, CAST(CASE WHEN n <= 2 THEN n WHEN n <= 4 THEN 3 WHEN n <= 8 THEN 4 WHEN n <= 16 THEN 5 ELSE 6 END AS INT) AS val FROM gm"),
-    "walsh_hadamard": build("SELECT id, CAST(u AS INT) AS u, CAST(sum(CASE WHEN bit_count((pos & u)::INT) % 2 = 1 THEN -t ELSE t END) AS BIGINT) AS coef FROM tern, range(64) r(u) WHERE q GROUP BY id, u"),
+    "walsh_hadamard": build("SELECT id, CAST(u AS INT) AS u, CAST(sum(CASE WHEN bit_count((pos & u)::INT) % 2 = 1 THEN -t ELSE t END) AS BIGINT) AS coef FROM tern, range(64) r(u) GROUP BY id, u"),
     "background_mode": build("SELECT channel, bg FROM bg"),
     "hot_map": build("SELECT channel, pos, val, label, cnt FROM hot"),
     "info_gain": build("SELECT channel, pos, w FROM ig"),
     "info_gain_all_values": build("""SELECT channel, pos, CASE WHEN most > 0 THEN greatest(1, CAST(floor(round(raw / most * 16, 6) + 0.5) AS INT)) ELSE 1 END AS w FROM (
         SELECT *, max(raw) OVER (PARTITION BY channel) AS most FROM (SELECT channel, pos, round(hc - he / tot, 9) AS raw FROM prior JOIN (SELECT channel, pos, sum(e) AS he FROM cond GROUP BY channel, pos) x USING (channel, pos)))"""),
     "pair_info_gain": build("""SELECT a, b, channel, pos, CASE WHEN most > 0 THEN greatest(1, CAST(floor(round(raw / most * 16, 6) + 0.5) AS INT)) ELSE 1 END AS w FROM (
-        SELECT *, max(raw) OVER (PARTITION BY a, b) AS most FROM (
+        SELECT *, max(raw) OVER (PARTITION BY a, b, channel) AS most FROM (
         SELECT a, b, channel, pos, round(hc - he / tot, 9) AS raw FROM (
           SELECT a, b, channel, pos, sum(-n / tot * log2(n / tot)) AS hc, sum(n) AS tot FROM (
             SELECT a, b, channel, pos, label, CAST(sum(cnt) AS DOUBLE) AS n, CAST(sum(sum(cnt)) OVER (PARTITION BY a, b, channel, pos) AS DOUBLE) AS tot FROM two GROUP BY a, b, channel, pos, label) GROUP BY a, b, channel, pos) x
         JOIN (SELECT a, b, channel, pos, sum(CASE WHEN val = bg THEN 0.0 ELSE e END) AS he FROM (
             SELECT *, -cnt * log2(cnt / CAST(sum(cnt) OVER (PARTITION BY a, b, channel, pos, val) AS DOUBLE)) AS e FROM two) JOIN bg4 USING (channel) GROUP BY a, b, channel, pos) y USING (a, b, channel, pos)))""",
-        {"two": "SELECT r.a::INT AS a, s.b::INT AS b, channel, pos, val, label, cnt FROM range(4) r(a), range(4) s(b), hot WHERE r.a < s.b AND channel = 'px' AND label IN (r.a, s.b)",
-         "bg4": "SELECT channel, arg_max(val, n * 1000 - val) AS bg FROM (SELECT channel, val, count(*) AS n FROM sig WHERE NOT q AND label < 4 AND channel = 'px' GROUP BY channel, val) GROUP BY channel"}),
+        {"two": "SELECT r.a::INT AS a, s.b::INT AS b, channel, pos, val, label, cnt FROM range(10) r(a), range(10) s(b), hot WHERE r.a < s.b AND label IN (r.a, s.b)",
+         "bg4": "SELECT channel, arg_max(val, n * 1000 - val) AS bg FROM (SELECT channel, val, count(*) AS n FROM sig WHERE NOT q GROUP BY channel, val) GROUP BY channel"}),
     "channel_gain": build("SELECT channel, round(sum(raw), 6) AS total FROM rawig GROUP BY channel"),
     "postings_stats": build("SELECT channel, pos, val, count(*) AS n, min(tid) AS first_id, max(tid) AS last_id FROM post GROUP BY channel, pos, val"),
     "weighted_cube": build("SELECT channel, pos, val, label, CAST(cnt * w AS BIGINT) AS weighted FROM hot JOIN ig USING (channel, pos)"),
@@ -374,8 +374,8 @@ ORACLE_SQL["router_three_tier"] = build("""SELECT i.id AS qid, i.label, CAST(CAS
 ORACLE_SQL["early_exit"] = build("""SELECT qid, label, CAST(ord AS INT) AS ord, pred FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN s[1] * 2 > s[2] * 3 THEN ord ELSE 1000 - ord END) AS at_ FROM (
     SELECT qid, label, ord, arg_max(cls, acc * 100 - cls) AS pred, list_sort(list(acc), 'DESC') AS s FROM (SELECT *, sum(score) OVER (PARTITION BY qid, cls ORDER BY ord) AS acc FROM steps) GROUP BY qid, label, ord)) WHERE at_ = 1""",
     {"steps": """SELECT s.id AS qid, s.label, ord, cls, CAST(coalesce(cnt, 0) AS BIGINT) AS score FROM sig s JOIN (
-        SELECT pos, row_number() OVER (ORDER BY w DESC, pos) AS ord FROM ig WHERE channel = 'px') o ON o.pos = s.pos CROSS JOIN cls
-        LEFT JOIN hot ON hot.channel = 'px' AND hot.pos = s.pos AND hot.val = s.val AND hot.label = cls WHERE s.q AND s.channel = 'px'"""})
+        SELECT channel, pos, row_number() OVER (ORDER BY w DESC, channel, pos) AS ord FROM ig) o ON o.channel = s.channel AND o.pos = s.pos CROSS JOIN cls
+        LEFT JOIN hot ON hot.channel = s.channel AND hot.pos = s.pos AND hot.val = s.val AND hot.label = cls WHERE s.q"""})
 
 _TRUNC = "CASE WHEN ({0}) < 0 THEN -(-({0}) // ({1})) ELSE ({0}) // ({1}) END"
 _STEP_H = _TRUNC.format("3 * c.h[k + 1] + CASE WHEN k = r.tlabel THEN 2 * r.ev ELSE -10 END", "4")
