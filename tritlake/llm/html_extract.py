@@ -4,7 +4,7 @@ A page is cut into text lines, one per block element, in page order. Pages are p
 compared with the pages before and after it on its host. Of the two, the one whose path shares the longer prefix is the
 nearest (both if they share as much). Lines are aligned by longest common subsequence; lines that a page shares with a nearest
 one are template and are deleted. Markup gives hints: elements made for menus, notices, forms and the like never hold text; in
-a marked article only such lines go as stand at its ends and are shared with both neighbours; and a page that has no neighbour
+a marked article only such lines go as begin or end it and the articles of both neighbours; and a page that has no neighbour
 to be compared with is cut to its article.
 """
 
@@ -118,24 +118,28 @@ def digests_of(lines: list[tuple[str, int, str]]) -> list[int]:
     return [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x, _, _ in lines]
 
 
-def chosen(lines: list[tuple[str, int, str]], before: set[int] | None, after: set[int] | None, nearest: tuple[bool, bool]) -> str:
-    """The text. `before` and `after` are the places of lines shared with the neighbours, None if there is none; `nearest` says which count as nearest."""
+def article_ends(lines: list[tuple[str, int, str]], own: list[int], others: list[list[int]]) -> set[int]:
+    """Places of the article's lines at its beginning and end that also begin and end the articles of both neighbours.
+
+    A main heading is passed over. A neighbour that holds half of the article is a copy of it and says nothing of template.
+    """
+    inside = [k for k, line in enumerate(lines) if line[1] == ARTICLE and line[2] != "h1"]
+    mine = [own[k] for k in inside]
+    size = sum(len(lines[k][0]) for k in inside)
+    if any(2 * sum(len(lines[inside[j]][0]) for j in common_lines(mine, o)) >= size for o in others):
+        return set()
+    alike = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    first, last = min(alike(mine, o) for o in others), min(alike(mine[::-1], o[::-1]) for o in others)
+    return set(inside[:first]) | set(inside[len(inside) - last :])
+
+
+def chosen(lines: list[tuple[str, int, str]], before: set[int] | None, after: set[int] | None, nearest: tuple[bool, bool], ends: set[int]) -> str:
+    """The text. `before` and `after` are the places of lines shared with the neighbours, None if there is none; `nearest` says
+    which count as nearest; `ends` are lines of the article that are template."""
     compared = before is not None or after is not None
     shared = set().union(*(s for s, near in zip((before, after), nearest, strict=True) if s and near))
     inside = [k for k, line in enumerate(lines) if line[1] == ARTICLE]
     marked = bool(inside) or any(where == MAIN for _, where, _ in lines)
-    ends: set[int] = set()
-    if before and after and inside:
-        size = sum(len(lines[k][0]) for k in inside)
-        # A neighbour that holds half of the article is a copy of it and says nothing of template.
-        if all(2 * sum(len(lines[k][0]) for k in inside if k in s) < size for s in (before, after)):
-            for way in (inside, inside[::-1]):
-                for k in way:
-                    if lines[k][2] == "h1":
-                        continue
-                    if k not in before or k not in after:
-                        break
-                    ends.add(k)
 
     def stays(k: int) -> bool:
         _, where, block = lines[k]
@@ -199,16 +203,21 @@ def _address(url: Column) -> tuple[Column, Column]:
     return F.lower(F.regexp_extract(rest, "^([^/?#]*)", 1)), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
+def article_of(lines: list[tuple[str, int, str]], own: list[int]) -> list[int]:
+    """Digests of the article's lines, without main headings."""
+    return [d for d, line in zip(own, lines, strict=True) if line[1] == ARTICLE and line[2] != "h1"]
+
+
 _PLACE = ("host", "path", "key", "salt")
 
 
-def _blocks(base: DataFrame) -> tuple[list[tuple], dict[int, tuple]]:
-    """(first row of each block but the first, {block: (page before it, page after it)}), each page as (path, line digests).
+def _blocks(base: DataFrame, parts: int) -> tuple[list[tuple], dict[int, tuple]]:
+    """(first row of each block but the first, {block: (page before it, page after it)}), each page as (path, line digests, the article's line digests).
 
     Blocks are ranges of the order of the pages. The driver gets four addresses for each, and the lines of its two neighbours.
     """
     spark = base.sparkSession
-    n = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = 2 * parts
     light = base.select(*_PLACE).repartitionByRange(n, *_PLACE).sortWithinPartitions(*_PLACE)
     names = [f"{c}{k}" for k in range(4) for c in _PLACE]
 
@@ -233,7 +242,7 @@ def _blocks(base: DataFrame) -> tuple[list[tuple], dict[int, tuple]]:
         after = next((p for r in rows[k + 1 :] for p in (r[0], r[1]) if p[0] is not None and p[:3] != last[:3]), None)
         near[k] = [before[:3] if before and before[0] == first[0] else None, after[:3] if after and after[0] == last[0] else None]
     wanted = {p for pair in near.values() for p in pair if p}
-    lines: dict[tuple, list[int]] = {}
+    lines: dict[tuple, tuple[list[int], list[int]]] = {}
     if wanted:
         some = F.broadcast(spark.createDataFrame(sorted(wanted), "host string, path string, key long"))  # two for each block
 
@@ -244,12 +253,14 @@ def _blocks(base: DataFrame) -> tuple[list[tuple], dict[int, tuple]]:
                     page = tuple(b.column(j)[k].as_py() for j in range(3))
                     if page not in done:
                         done.add(page)
-                        own = digests_of(lines_of(b.column(3)[k].as_py()))
-                        yield pa.RecordBatch.from_arrays([*(b.column(j).slice(k, 1) for j in range(3)), pa.array([own], pa.list_(pa.int64()))], names=["host", "path", "key", "lines"])
+                        found = lines_of(b.column(3)[k].as_py())
+                        own = digests_of(found)
+                        yield pa.RecordBatch.from_arrays([*(b.column(j).slice(k, 1) for j in range(3)), pa.array([own], pa.list_(pa.int64())), pa.array([article_of(found, own)], pa.list_(pa.int64()))], names=["host", "path", "key", "lines", "article"])
 
-        got = base.select("host", "path", "key", "html").join(some, ["host", "path", "key"], "left_semi").mapInArrow(outline, "host string, path string, key long, lines array<long>")
-        lines = {(r["host"], r["path"], r["key"]): r["lines"] for r in got.groupBy("host", "path", "key").agg(F.first("lines").alias("lines")).collect()}
-    return [r[0] for r in rows[1:]], {k: tuple((p[1], lines[p]) if p else None for p in pair) for k, pair in near.items()}
+        got = base.select("host", "path", "key", "html").join(some, ["host", "path", "key"], "left_semi").mapInArrow(outline, "host string, path string, key long, lines array<long>, article array<long>")
+        got = got.groupBy("host", "path", "key").agg(F.first("lines").alias("lines"), F.first("article").alias("article"))
+        lines = {(r["host"], r["path"], r["key"]): (r["lines"], r["article"]) for r in got.collect()}
+    return [r[0] for r in rows[1:]], {k: tuple((p[1], *lines[p]) if p else None for p in pair) for k, pair in near.items()}
 
 
 def _alike(a: str, b: str) -> int:
@@ -271,7 +282,9 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     host, path = _address(F.col(f"`{url_col}`"))
     base = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"), host.alias("host"), path.alias("path"))
     base = base.withColumn("key", F.xxhash64("url", "html")).withColumn("salt", F.xxhash64("id"))
-    starts, near = _blocks(base)
+    # As many parts as the input has, so that they do not grow with it.
+    n = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), pages.rdd.getNumPartitions())
+    starts, near = _blocks(base, n)
     if not near:
         return base.select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars"))
     block = F.lit(0)
@@ -281,7 +294,6 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         steps = F.array(*(F.lit(1 << k) for k in range(len(starts).bit_length() - 1, -1, -1)))
         own = F.struct(*_PLACE)
         block = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(starts)) & (F.get(table_, at + step - 1) <= own), at + step).otherwise(at))
-    n = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = base.withColumn("block", block.cast("int")).repartition(n, "block").sortWithinPartitions("block", *_PLACE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,10 +301,11 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         page: tuple | None = None  # block, host, path, key
         lines, own, rows, before = [], [], [], None
 
-        def done(after: tuple[str, list[int]] | None) -> None:
+        def done(after: tuple[str, list[int], list[int]] | None) -> None:
             sides = [(common_lines(own, s[1]), _alike(page[2], s[0])) if s else (None, -1) for s in (before, after)]
             most = max(s[1] for s in sides)
-            text = chosen(lines, sides[0][0], sides[1][0], (sides[0][1] == most, sides[1][1] == most))
+            ends = article_ends(lines, own, [before[2], after[2]]) if before and after else set()
+            text = chosen(lines, sides[0][0], sides[1][0], (sides[0][1] == most, sides[1][1] == most), ends)
             out.extend((i, u, text, len(text)) for i, u in rows)
 
         def batch() -> pa.RecordBatch:
@@ -313,8 +326,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                         before = near[now[0]][0]
                     else:
                         together = now[1] == page[1]
-                        done((now[2], digests) if together else None)
-                        before = (page[2], own) if together else None
+                        done((now[2], digests, article_of(new, digests)) if together else None)
+                        before = (page[2], own, article_of(lines, own)) if together else None
                     page, lines, own, rows = now, new, digests, []
                     if len(out) >= 256:
                         yield batch()
