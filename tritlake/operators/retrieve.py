@@ -100,18 +100,16 @@ def _rows(q: np.ndarray, t: np.ndarray, lab: np.ndarray, s: np.ndarray) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(t, pa.int64()), pa.array(lab.astype(np.int32)), pa.array(s.astype(np.int64))], names=["qid", "tid", "tlabel", "score"])
 
 
-def kernel_votes(codes: DataFrame, probes_: DataFrame, slots: dict[str, int], values: int, k: int | None = None) -> DataFrame:
+def kernel_votes(codes: DataFrame, probes_: DataFrame, slots: dict[str, int], places: int, values: int, k: int | None = None) -> DataFrame:
     """(qid, tid, tlabel, votes): the votes of the index as a kernel over arrays of codes, without a shuffle of the training rows.
 
-    codes: (tid, tlabel, codes), a code below `values` for each position of the channels, which begin at the places `slots`
-    gives. A query is a line of weights, one for each place and value; a row's votes are the sum of the weights at its codes.
+    codes: (tid, tlabel, codes), `places` codes below `values`, one for each position of the channels, which begin where `slots`
+    says. A query is a line of weights, one for each place and value; a row's votes are the sum of the weights at its codes.
     With k only the best k rows of each query stay (more votes, then the smaller id), cut in each task before any shuffle.
     """
     begin = F.create_map(*(F.lit(x) for pair in slots.items() for x in pair))
     col = (F.element_at(begin, F.col("channel")) + F.col("pos")) * values + F.col("val")
     rows = probes_.groupBy("qid", col.alias("c")).agg(F.sum("w").alias("w")).groupBy("qid").agg(F.collect_list(F.struct("c", "w")).alias("x"))
-    n = codes.select(F.size("codes")).first()
-    width = (n[0] if n else 0) * values
 
     def fill(row, line: np.ndarray) -> None:
         for x in row["x"]:
@@ -123,7 +121,7 @@ def kernel_votes(codes: DataFrame, probes_: DataFrame, slots: dict[str, int], va
             out += turned[arrays[:, s] + s * values]
         return out.T
 
-    blocks = query_blocks(rows, width, fill) if width else iter(())
+    blocks = query_blocks(rows, places * values, fill)
     found = _by_blocks(codes.select(F.col("tid").cast("long"), F.col("tlabel").cast("int"), "codes"), blocks, score, k)
     votes_ = found.filter("score > 0").select("qid", "tid", "tlabel", F.col("score").alias("votes"))
     return votes_ if k is None else top_exact(votes_, k)

@@ -156,7 +156,7 @@ def flow_trace_regions(spark, sf):
 
 
 def _textured(spark, sf) -> DataFrame:
-    return terms.textured(features.described(_images(spark, sf), GRID), GRID, (2, 6))
+    return kept(terms.textured(features.described(_images(spark, sf), GRID), GRID, (2, 6)))
 
 
 def _terms(spark, sf) -> DataFrame:

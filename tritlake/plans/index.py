@@ -79,7 +79,7 @@ class Index:
         codes = encode.joint_arrays(t, self.grid) if self.joint else encode.with_codes(t, self.grid, self.quantizer)
         codes = codes.select(F.col("id").alias("tid"), F.col("label").alias("tlabel"), F.concat(*(F.col(f"c_{c}") for c in names)).alias("codes"))
         positions = self.grid.h * self.grid.strips
-        return retrieve.kernel_votes(codes, self.probes, {c: j * positions for j, c in enumerate(names)}, 256 if self.joint else 27, k)
+        return retrieve.kernel_votes(codes, self.probes, {c: j * positions for j, c in enumerate(names)}, positions * len(names), 256 if self.joint else 27, k)
 
     def retrieve(self, k: int = 200, mode: str = "exact") -> Candidates:
         return Candidates(self, self.kernel(k) if mode == "exact" else retrieve.top_threshold_id(self.kernel(), k))

@@ -283,12 +283,19 @@ def vote_hamming1_all_indexed(spark, sf):
 
 @query
 def vote_three_channel(spark, sf):
-    return _vote_rows(_index(spark, sf).votes())
+    return _vote_rows(_index(spark, sf).kernel())
 
 
 @query
 def vote_kernel(spark, sf):
-    return _vote_rows(_index(spark, sf).kernel())
+    """The kernel over the joint byte's index; vote_joint_bitflip is the join."""
+    return _vote_rows(_index(spark, sf, joint=True, probe="bitflip").kernel())
+
+
+@query
+def vote_index_join(spark, sf):
+    """vote_three_channel by the inverted index."""
+    return _vote_rows(_index(spark, sf).votes())
 
 
 @query
@@ -297,7 +304,7 @@ def vote_joint_bitflip(spark, sf):
 
 
 def _eye(spark, sf, quantizer) -> DataFrame:
-    return Index.fit(_images(spark, sf), GRID, quantizer, probe="none", channels=("px",)).votes()
+    return Index.fit(_images(spark, sf), GRID, quantizer, probe="none", channels=("px",)).kernel()
 
 
 @query
@@ -506,8 +513,13 @@ def stream_function(spark, sf):
 # Scores and votes
 
 
+def _described(spark, sf) -> DataFrame:
+    """Kept, as queries and candidates both read it."""
+    return kept(features.described(_images(spark, sf), GRID))
+
+
 def _features(spark, sf) -> DataFrame:
-    return kept(score.base_features(_top(spark, sf), features.described(_images(spark, sf), GRID)))
+    return kept(score.base_features(_top(spark, sf), _described(spark, sf)))
 
 
 def _ranked(spark, sf) -> DataFrame:
@@ -633,7 +645,7 @@ def router_three_tier(spark, sf):
     i = _index(spark, sf, joint=True, probe="none")
     top = kept(i.kernel(K))
     queries = _images(spark, sf).filter("is_query").select(F.col("id").alias("qid"), "label")
-    d = features.described(_images(spark, sf), GRID)
+    d = _described(spark, sf)
     return route.three_tier(queries, top, _hot_pred(spark, sf), lambda t: kept(score.base_features(t, d, one_sided=0)), sure=12, likely=9)
 
 

@@ -221,7 +221,7 @@ ORACLE_SQL: dict[str, str] = {
     "vote_multiprobe": build("SELECT qid, tid, CAST(sum(w) AS BIGINT) AS votes FROM pmulti JOIN post USING (channel, pos, val) WHERE channel = 'px' GROUP BY qid, tid"),
     "vote_hamming1_all_indexed": build("SELECT qid, tid, CAST(sum(w) AS BIGINT) AS votes FROM (SELECT * FROM pexact UNION ALL SELECT * FROM nearham) z JOIN postall USING (channel, pos, val) WHERE channel = 'px' GROUP BY qid, tid"),
     "vote_three_channel": build("SELECT qid, tid, votes FROM votes3"),
-    "vote_kernel": build("SELECT qid, tid, votes FROM votes3"),
+    "vote_index_join": build("SELECT qid, tid, votes FROM votes3"),
     "vote_bagged": build("SELECT bag, qid, tid, votes FROM bagv"),
     "topk_exact": build("SELECT qid, tid, votes, rank FROM top"),
     "topk_threshold_id": build(f"""SELECT qid, tid, votes, CAST(row_number() OVER (PARTITION BY qid ORDER BY votes DESC, tid) AS INT) AS rank FROM (
@@ -361,7 +361,7 @@ _JOINT = {
     "sig": "SELECT id, label, q, 'joint' AS channel, pos, val FROM joint",
     "adj": "SELECT CAST(a AS INT) AS val, CAST(xor(a, 1 << b) AS INT) AS nval FROM range(256) r(a), range(8) s(b)",
 }
-ORACLE_SQL["vote_joint_bitflip"] = build("SELECT qid, tid, votes FROM votes3", _JOINT)
+ORACLE_SQL["vote_joint_bitflip"] = ORACLE_SQL["vote_kernel"] = build("SELECT qid, tid, votes FROM votes3", _JOINT)
 
 _TOPJ = build(f"""SELECT qid, tid, tlabel, votes, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, tid) AS rank FROM (
     SELECT qid, tid, tlabel, CAST(sum(w) AS BIGINT) AS votes FROM pexact JOIN post USING (channel, pos, val) GROUP BY qid, tid, tlabel)) WHERE rank <= {K}""", _JOINT)
