@@ -261,7 +261,8 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per row: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
     Each text is written as Matroska and its samples are read back through the packet table. Null and empty texts are one
-    unit of spaces. Equal texts give equal values, repeated rows repeated rows; extra columns are ignored.
+    unit of spaces. Equal texts give equal values, repeated rows repeated rows; extra columns are ignored;
+    an empty table gives no rows. A very long text is one file, in memory of a few times its size.
     """
 
     def make() -> Callable[[str], tuple]:
@@ -280,4 +281,5 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; odd rows as in media_features."""
     return media_features(table(spark, sf_dir, "documents"))

@@ -273,4 +273,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; odd rows as in find_near_duplicates."""
     return find_near_duplicates(table(spark, sf_dir, "documents"))

@@ -262,4 +262,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with strings of 200 bytes; odd rows as in remove_repeats."""
     return remove_repeats(table(spark, sf_dir, "documents"))

@@ -316,6 +316,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with the word-level tokenizer; odd rows as in count_tokens."""
     import public_tokenizers
 
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
