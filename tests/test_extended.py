@@ -220,3 +220,33 @@ def test_propagation_from_all_anchors(spark):
         near = sorted(range(20), key=lambda j: (-int(t[i] @ t[j]), j))[:5]
         n = [sum(j % 3 == c for j in near) for c in range(3)]
         assert got[i] == n.index(max(n))
+
+
+def test_ternary_components_by_hand(spark):
+    from tritlake.operators import extend
+
+    g = sources.VECTOR_GRID
+    d = encode.planes(sources.vectors_as_images(spark, SF), g).select("id", "is_query", "t")
+    _, comps = extend.principal_components(d, g.n, 3)
+    signs = [np.where(np.abs(c) >= 0.5 / np.sqrt(g.n), np.sign(c), 0).astype(int) for c in comps]
+    for r in extend.ternary_components(d, g, 3).collect():
+        dots = [int(np.dot(r.t, s)) for s in signs]
+        assert r.pc == [(v > np.abs(s).sum() // 3) * 1 - (v < -(np.abs(s).sum() // 3)) * 1 for v, s in zip(dots, signs, strict=True)]
+
+
+def test_series_along_the_combined_order(spark):
+    s = encode.block_signatures(sources.vectors_as_images(spark, SF), sources.VECTOR_GRID)
+    raw = {r.pos: r.raw for r in extended._raw_gain(spark, SF).collect()}
+    load = {r.pos: r.load for r in mixed.eigen_importance(s, "px", extended.POSITIONS).collect()}
+    order = sorted(raw, key=lambda p: (-round(raw[p] * load[p], 9), p))
+    assert [r.pos for r in QUERIES["combined_order"](spark, SF).orderBy("ord").collect()] == order
+    cells = extended._position_cells(spark, SF).select("qid", "pos", "a").collect()
+    want = {}
+    for stop in (4, 8, 16):
+        for c in cells:
+            if c.pos in order[:stop]:
+                own = want.setdefault((stop, c.qid), [0.0] * 10)
+                for k in range(10):
+                    own[k] += math.log(c.a[k] + 0.5)
+    got = {(r.stop, r.qid): r.pred for r in QUERIES["series_ordered_combined"](spark, SF).collect()}
+    assert got == {key: max(range(10), key=lambda k: (round(v[k], 9), -k)) for key, v in want.items()}
