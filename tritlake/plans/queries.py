@@ -288,8 +288,8 @@ def vote_three_channel(spark, sf):
 
 @query
 def vote_kernel(spark, sf):
-    """The kernel over the joint byte's index; vote_joint_bitflip is the join."""
-    return _vote_rows(_index(spark, sf, joint=True, probe="bitflip").kernel())
+    """The form that vote_three_channel takes; vote_index_join is the other one."""
+    return vote_three_channel(spark, sf)
 
 
 @query
