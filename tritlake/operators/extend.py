@@ -71,18 +71,16 @@ def interpolated_map(sigs: DataFrame, across: int, down: int, step: int = 4) ->
 # Rescue
 
 
-def rescued_votes(images: DataFrame, grid: Grid, votes: DataFrame, ig: DataFrame, bg: DataFrame, postings: DataFrame, few: int, channels: tuple[str, ...] = ("px",)) -> DataFrame:
-    """(qid, tid, tlabel, votes): queries with fewer than `few` candidates probe again, moved by one pixel each way, at half weight."""
-    n = votes.groupBy("qid").agg(F.count("*").alias("n"))
+def rescue_probes(images: DataFrame, grid: Grid, counts: DataFrame, ig: DataFrame, bg: DataFrame, few: int, channels: tuple[str, ...] = ("px",)) -> DataFrame:
+    """(qid, channel, pos, val, w): further probes of queries with fewer than `few` candidates by counts (qid, n), moved by one
+    pixel each way, at half weight."""
     q = images.filter("is_query")
-    poor = q.join(n, q["id"] == n["qid"], "left").filter(F.coalesce("n", F.lit(0)) < few)
+    poor = q.join(counts, q["id"] == counts["qid"], "left").filter(F.coalesce("n", F.lit(0)) < few)
     moves = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy]
     moved = poor.select("id", "label", "is_query", F.explode(F.array(*(grid.translate(F.col("px"), dx, dy) for dx, dy in moves))).alias("px"))
     s = encode.block_signatures(moved, grid).filter(F.col("channel").isin(*channels))
     p = s.join(F.broadcast(ig), ["channel", "pos"]).join(F.broadcast(bg), "channel").filter("val <> bg and w > 1")
-    more = p.select(F.col("id").alias("qid"), "channel", "pos", "val", F.floor(F.col("w") / 2).cast("long").alias("w")).join(postings, ["channel", "pos", "val"])
-    both = votes.select("qid", "tid", "tlabel", "votes").unionByName(more.select("qid", "tid", "tlabel", F.col("w").alias("votes")))
-    return both.groupBy("qid", "tid", "tlabel").agg(F.sum("votes").alias("votes"))
+    return p.select(F.col("id").alias("qid"), "channel", "pos", "val", F.floor(F.col("w") / 2).cast("long").alias("w"))
 
 
 # Propagation
