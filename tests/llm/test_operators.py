@@ -191,6 +191,17 @@ def test_short_lines_stay_in_other_company(spark):
     assert got[4] == ("three\n\nfour", 5) and got[5] == ("", 5)
 
 
+def test_passages_within_lines_go(spark):
+    passage = "It has two sentences, and neither begins a line of any text that holds them. They are long enough together to be a passage of their own, which goes."
+    rows = [(1, f"The first text leads in. {passage} And it leads out again."), (2, f"Other words stand before the cut of this one {passage} Nothing follows but this"), (3, "One sentence alone in one line, which is long enough to be a run of lines and of sentences, is no repeat of itself in any text. ")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in sd.drop_repeated_units(d, inside=True).collect()}
+    assert got == dict(rows)  # its first sentence is not whole in the second text, and the other is too short
+    whole = rows[:1] + [(2, rows[1][1].replace("this one", "this one."))] + rows[2:]
+    got = {r.doc_id: (r.text, r.n_removed) for r in sd.drop_repeated_units(spark.createDataFrame(whole, "doc_id long, text string"), inside=True).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("Other words stand before the cut of this one.  Nothing follows but this", 1), 3: (rows[2][1], 0)}
+
+
 def test_fingerprints_and_components(docs, texts):
     def plain(t):
         w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))

@@ -2,7 +2,9 @@
 
 A unit is the least run of whole lines, from each line of a text on, that holds enough text; a long line is a unit by itself.
 So a short line is judged together with the lines behind it: a passage that repeats goes whatever the length of its lines,
-while a heading or a greeting that many texts share stays in its place. A unit's digest is that of its normalised words.
+while a heading or a greeting that many texts share stays in its place. Passages also begin and end within lines; for those
+the same runs are taken over the sentences of the lines, with digests of their own, so that a line and its sentences are not
+taken for repeats of each other. A unit's digest is that of its normalised words.
 Digests are counted over the whole corpus with map-side combination; of each repeated unit the occurrence of least rank
 (document id, text digest, offset) stays and every other one is removed, with its offsets in the original text kept.
 """
@@ -26,6 +28,8 @@ from .common import cut_lineage, id_and_text, table
 LEAST_BYTES = 120
 
 _LINE = re.compile(r"[^\n]+")
+#: Up to a stop before white space, a stop of scripts without spaces, or the line's end.
+_SENTENCE = re.compile(r"[^\n]+?(?:[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[」』”’]*|(?=\n)|$)")
 _WORDS = re.compile(r"\w+")
 # Vowel signs and tones of Indic scripts and Thai are marks, which are not in \w; short lines that differ in them are not equal.
 _MARKS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
@@ -41,10 +45,10 @@ def _finder(text: str) -> re.Pattern[str]:
     return _WORDS
 
 
-def lines_of(text: str) -> list[tuple[int, int, bytes]]:
-    """(start, end, normalised words) in code points of each line with a word, without the white space at its ends."""
+def lines_of(text: str, piece: re.Pattern[str] = _LINE) -> list[tuple[int, int, bytes]]:
+    """(start, end, normalised words) in code points of each line, or other piece, with a word, without the white space at its ends."""
     out, finder = [], _finder(text)
-    for line in _LINE.finditer(text):
+    for line in piece.finditer(text):
         words = " ".join(finder.findall(line[0].lower()))
         if words:
             at = line.start() + len(line[0]) - len(line[0].lstrip())
@@ -52,16 +56,21 @@ def lines_of(text: str) -> list[tuple[int, int, bytes]]:
     return out
 
 
-def units_of(text: str, least_bytes: int = LEAST_BYTES) -> list[tuple[int, int, int]]:
-    """(start, end, digest) in code points: from each line on the least run of lines with enough text; of a shorter text all lines."""
-    lines, out, stop, size = lines_of(text), [], 0, 0
+def units_of(text: str, least_bytes: int = LEAST_BYTES, inside: bool = False) -> list[tuple[int, int, int]]:
+    """(start, end, digest) in code points: from each line on the least run of lines with enough text; of a shorter text all lines.
+    With `inside` also the runs of sentences."""
+    return _runs(lines_of(text), least_bytes, 0) + (_runs(lines_of(text, _SENTENCE), least_bytes, 1) if inside else [])
+
+
+def _runs(lines: list[tuple[int, int, bytes]], least_bytes: int, seed: int) -> list[tuple[int, int, int]]:
+    out, stop, size = [], 0, 0
     for first, (start, _, words) in enumerate(lines):
         while stop < len(lines) and (size < least_bytes or stop <= first):
             size += len(lines[stop][2])
             stop += 1
         if size < least_bytes and first:
             break
-        out.append((start, lines[stop - 1][1], xxhash.xxh3_64_intdigest(b"\n".join(w for _, _, w in lines[first:stop])) - (1 << 63)))
+        out.append((start, lines[stop - 1][1], xxhash.xxh3_64_intdigest(b"\n".join(w for _, _, w in lines[first:stop]), seed) - (1 << 63)))
         size -= len(words)
     return out
 
@@ -81,10 +90,11 @@ def cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, i
     return "".join([*parts, text[at:]]), [(s, e) for s, e in runs]
 
 
-def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Per row: id, text (what is left), n_removed (lines), removed_spans ("start:end" in code points, merged).
+def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_bytes: int = LEAST_BYTES, inside: bool = False) -> DataFrame:
+    """Per row: id, text (what is left), n_removed (lines, whole or in part), removed_spans ("start:end" in code points, merged).
 
-    With `least_bytes` of 1 every line with a word is a unit by itself. Null and empty texts have no units and give the empty
+    With `least_bytes` of 1 every line with a word is a unit by itself. With `inside` passages go that begin or end within
+    lines, as far as their sentences are whole and hold enough text. Null and empty texts have no units and give the empty
     text, an empty table no rows; very long texts are split like any other, in memory of their size. Rows that repeat id and
     text have equal rank: the units that they hold first stay in each of them. A null id ranks before all others. Extra
     columns are ignored.
@@ -96,7 +106,7 @@ def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for k in range(0, b.num_rows, 256):
                 rows = []
                 for i, h, t in zip(*(b.column(j).slice(k, 256).to_pylist() for j in range(3)), strict=True):
-                    rows += [(i, h, s, e, d) for s, e, d in units_of(t, least_bytes)]
+                    rows += [(i, h, s, e, d) for s, e, d in units_of(t, least_bytes, inside)]
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["i", "h", "s", "e", "d"])
 
@@ -123,5 +133,5 @@ def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents: what is left of each text, the lines removed and their places."""
-    return drop_repeated_units(table(spark, sf_dir, "documents"))
+    """All documents: what is left of each text, the lines removed and their places; passages within lines too."""
+    return drop_repeated_units(table(spark, sf_dir, "documents"), inside=True)
